@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.strict_json import items, loads_object
-from lexloom.llm import lookalike, terms
+from lexloom.llm import lookalike, names, terms
 from lexloom.tables import materialized, table
 
 
@@ -57,8 +57,22 @@ def p4_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonical(dictionary_texts(spark, sf))
 
 
+def _recordings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "commons_fixtures").select("recording_id", "author_ordinal", F.col("extmetadata.artist").alias("artist"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.links(table(spark, sf, "authors"), _recordings(spark, sf))
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity of every distinct spelling in authors and recordings."""
+    written = table(spark, sf, "authors").select(F.col("author_text").alias("text"))
+    return names.entities(written.union(_recordings(spark, sf).select("artist")))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_terms": p2_terms, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_forms": p4_forms}
+    return {"p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_terms": p2_terms, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_forms": p4_forms}
 
 
 _P2 = """
