@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.strict_json import items, loads_object
-from lexloom.llm import lookalike, names, terms
+from lexloom.llm import lookalike, names, residue, terms
 from lexloom.tables import materialized, table
 
 
@@ -71,8 +71,22 @@ def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
     return names.entities(written.union(_recordings(spark, sf).select("artist")))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(table(spark, sf, "documents"))
+
+
+def p9_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Every unit that is residue, with the reason."""
+    return residue.judged(table(spark, sf, "documents"))
+
+
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that remain."""
+    return residue.without_residue(table(spark, sf, "documents"))
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_terms": p2_terms, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_forms": p4_forms}
+    return {"p9_found": p9_found, "p9_units": p9_units, "p9_kept": p9_kept, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_terms": p2_terms, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_forms": p4_forms}
 
 
 _P2 = """
