@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.strict_json import items, loads_object
-from lexloom.llm import lookalike, names, residue, terms
+from lexloom.llm import lookalike, mixture, names, packing, residue, terms
 from lexloom.tables import materialized, table
 
 
@@ -85,8 +85,38 @@ def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
     return residue.without_residue(table(spark, sf, "documents"))
 
 
+def _capacity(spark: SparkSession, sf: str, name: str) -> int:
+    return table(spark, sf, "containers").where(F.col("container_name") == name).agg(F.max("capacity_tokens")).first()[0]
+
+
+def _packed(name: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return packing.pack(table(spark, sf, "documents"), _capacity(spark, sf, name))
+
+    return query
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and unused space for each capacity."""
+    made = None
+    for name in ("small", "usual", "large"):
+        capacity = _capacity(spark, sf, name)
+        row = packing.report(_packed(name)(spark, sf), capacity).select(F.lit(name).alias("container_name"), F.lit(capacity).alias("capacity_tokens"), "*")
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
+def p8_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.select(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share that each source really got."""
+    return mixture.select(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def queries() -> dict:
-    return {"p9_found": p9_found, "p9_units": p9_units, "p9_kept": p9_kept, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_terms": p2_terms, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_forms": p4_forms}
+    return {"p7_packed": _packed("usual"), "p7_packed_small": _packed("small"), "p7_packed_large": _packed("large"), "p7_report": p7_report, "p8_selection": p8_selection, "p8_shares": p8_shares, "p9_found": p9_found, "p9_units": p9_units, "p9_kept": p9_kept, "p5_found": p5_found, "p5_entities": p5_entities, "p2_found": p2_found, "p2_terms": p2_terms, "p2_sequences": p2_sequences, "p4_found": p4_found, "p4_forms": p4_forms}
 
 
 _P2 = """

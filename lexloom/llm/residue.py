@@ -40,6 +40,8 @@ MENTION = 0.5
 SEEN = 4
 #: A line belongs to error pages if it comes with error messages in this share of at least so many documents.
 PAGE_SHARE, PAGE_DOCUMENTS = 0.9, 5
+#: Lines of a page's template are short.
+LINE_LENGTH = 120
 #: Hash buckets of the triples worth counting; a table of so many bits goes to each task, whatever the data.
 BUCKETS = 1 << 22
 
@@ -110,6 +112,7 @@ FILLERS = [
     r"(?:\[draft\] ?)?\bmissing [^\W\d_]+(?: [^\W\d_]+)? ?(?:here|later|before publishing|\.\.\.|…)",
     r"\[draft\]",
     r"\b(?:Bitte|Hier) (?:die |den |das )?[^\W\d_]+ eintragen",
+    r"(?:^|(?<=[“«„「\"]))(?:insert|add|replace) (?:the|your|this) [^\W\d_]+(?: [^\W\d_]+)?(?=\W*(?:$|[”»“」\"]))",
     r"\bwrite a short gloss in this box\b",
     r"\bdo not publish\b",
 ]
@@ -289,11 +292,10 @@ def suspects(documents: DataFrame) -> DataFrame:
     return read.mapInArrow(_scan, "doc_id long, unit int, kind string, masked string, triples array<string>, pieces array<string>, quoted boolean")
 
 
-def _counted(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(triple, n): in how many units each triple of ``wanted`` stands, in any document."""
-    import xxhash  # noqa: F401
-
-    marks = wanted.select("triple").distinct().mapInPandas(lambda it: (pd.DataFrame({"b": sorted({bucket(t) for t in pdf["triple"]})}, dtype="int64") for pdf in it), "b long")
+def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(kind, key, doc_id, n): in how many units each wanted triple stands, and each document that has a wanted line."""
+    keys = wanted.select(F.col("triple").alias("key")).union(lines.select("masked")).distinct()
+    marks = keys.mapInPandas(lambda it: (pd.DataFrame({"b": sorted({bucket(t) for t in pdf["key"]})}, dtype="int64") for pdf in it), "b long")
     found = np.zeros(BUCKETS, dtype=bool)
     found[[r.b for r in marks.distinct().toLocalIterator()]] = True  # at most BUCKETS numbers, whatever the data
     flags = documents.sparkSession.sparkContext.broadcast(np.packbits(found).tobytes())
@@ -302,22 +304,34 @@ def _counted(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         bits = np.unpackbits(np.frombuffer(flags.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
+            held: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                short = set()
                 for unit in units(text):
                     spans = examine(unit)[1] if _maybe(unit) else []
                     seen.update(t for t in pieces(literals(unit, spans)) if bits[bucket(t)])
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["triple", "n"])
+                    if len(unit) <= LINE_LENGTH:
+                        short.add(masked(unit))
+                held += [("line", line, doc, 1) for line in short if bits[bucket(line)]]
+            held += [("triple", key, None, n) for key, n in seen.items()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], ["kind", "key", "doc_id", "n"])
 
-    counted = documents.select("text").where("text is not null").mapInArrow(rows, "triple string, n long")
-    return counted.groupBy("triple").agg(F.sum("n").alias("n"))
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(rows, "kind string, key string, doc_id long, n long")
 
 
 def _maybe(unit: str) -> bool:
     return bool(_SPAN_HINT.search(unit) or _FILLER_HINT.search(unit) or _HINT.search(unit))
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {masked(u) for text in batch.column(1).to_pylist() for u in units(text) if len(u) <= LINE_LENGTH}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["masked"])
+
+
 def judged(documents: DataFrame) -> DataFrame:
-    """(doc_id, unit, reason) of every unit that is residue: page, whole, slot or template.
+    """(doc_id, unit, reason) of every unit that is residue: page, whole or slot, and of documents with a line of an error template (unit -1).
 
     documents: doc_id, text. Null texts and ids give no rows, empty texts have no units; texts
     are read whole. Repeated texts are judged alike, each under its id.
@@ -327,32 +341,22 @@ def judged(documents: DataFrame) -> DataFrame:
     judging = slots.select("triple").where("triple is not null").distinct()
     held = found.where("kind = 'slot'").select(F.explode("pieces").alias("triple")).groupBy("triple").agg(F.count(F.lit(1)).alias("residue"))
     with_residue = materialized(held.join(judging, "triple", "left_semi"))
-    total = _counted(documents, with_residue)
+    paged = found.where("kind = 'page'").select("doc_id").distinct()
+    near = documents.select("doc_id", "text").where("doc_id is not null and text is not null").join(broadcast_if_small(paged), "doc_id", "left_semi").mapInArrow(_lines, "masked string").distinct()
+    counted = materialized(_counted(documents, with_residue, near))
+    total = counted.where("kind = 'triple'").groupBy(F.col("key").alias("triple")).agg(F.sum("n").alias("n"))
     share = with_residue.join(total, "triple").where(F.col("n") >= SEEN).select("triple", (F.col("residue") / F.col("n")).alias("share"))
     per_unit = slots.join(broadcast_if_small(share), "triple", "left").groupBy("doc_id", "unit").agg(F.percentile("share", 0.5).alias("median"), F.first("quoted").alias("quoted"))
     # Without any template to align with, quotation marks decide.
     left_over = per_unit.where(F.coalesce(F.col("median") < MENTION, ~F.col("quoted"))).select("doc_id", "unit", F.lit("slot").alias("reason"))
     alone = found.where(F.col("kind").isin("page", "whole")).select("doc_id", "unit", F.col("kind").alias("reason"))
-    return left_over.unionByName(alone)
-
-
-def page_lines(documents: DataFrame, judged_units: DataFrame) -> DataFrame:
-    """(masked, documents, with_errors): repeated short lines and how many of their documents have an error message.
-
-    Lines of ordinary prose come in with no message; only lines that repeat are returned.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(doc, line) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for line in {masked(u) for u in units(text) if len(u) <= 120}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], ["doc_id", "masked"])
-
-    paged = judged_units.where("reason = 'page'").select("doc_id").distinct()
-    lines = documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(rows, "doc_id long, masked string")
-    near = lines.join(paged, "doc_id", "left_semi").select("masked").distinct()
+    # Lines that come with error messages nearly wherever they stand: the rest of the error pages' template.
+    held = counted.where("kind = 'line'").select(F.col("key").alias("masked"), "doc_id").distinct()
     flagged = paged.withColumn("error", F.lit(1))
-    counted = lines.join(near, "masked", "left_semi").join(flagged, "doc_id", "left").groupBy("masked").agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("with_errors"))
-    return counted.where(F.col("documents") > 1)
+    lines = held.join(flagged, "doc_id", "left").groupBy("masked").agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("with_errors"))
+    lines = lines.where((F.col("documents") >= PAGE_DOCUMENTS) & (F.col("with_errors") >= PAGE_SHARE * F.col("documents"))).select("masked")
+    template = held.join(broadcast_if_small(lines), "masked", "left_semi").select("doc_id", F.lit(-1).alias("unit"), F.lit("template").alias("reason")).distinct()
+    return left_over.unionByName(alone).unionByName(template)
 
 
 def residue(documents: DataFrame) -> DataFrame:
