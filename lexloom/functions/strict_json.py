@@ -20,6 +20,8 @@ def loads_object(text: str | None) -> dict | None:
         return None
     try:
         value = json.loads(text, parse_constant=_no_constant)
+        if "\\ud" in text or "\\uD" in text:
+            json.dumps(value, ensure_ascii=False).encode("utf-8")  # half of a surrogate pair is no text
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -41,3 +43,25 @@ def json_type(value: Any) -> str:
 def items(value: Any) -> list:
     """The elements of a list, none for anything else."""
     return value if isinstance(value, list) else []
+
+
+class DuplicateKey(ValueError):
+    """A key stands twice in the outermost object."""
+
+
+def loads_strict(text: str) -> object:
+    """The value written in ``text``; DuplicateKey or another ValueError if it isn't strict JSON.
+
+    Nested objects may repeat a key, the last one counts.
+    """
+    last: list = []
+
+    def pairs(found: list) -> dict:
+        last[:] = [found]
+        return dict(found)
+
+    value = json.loads(text, parse_constant=_no_constant, object_pairs_hook=pairs)
+    if isinstance(value, dict) and last and len(last[0]) != len(value):
+        raise DuplicateKey("duplicate key")
+    json.dumps(value, ensure_ascii=False).encode("utf-8")
+    return value
