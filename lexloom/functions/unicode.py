@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 def nfc(text: Column) -> Column:
     """Canonical composition."""
-    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.isNotNull(), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False)))
 
 
 def folded(text: Column) -> Column:
     """Composed, full default case folding, composed again; accents and white space stay."""
-    return nfc(F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfc(text), F.lit(True)))
+    return F.when(text.isNotNull(), nfc(F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfc(text), F.lit(True))))
 
 
 def lookup_keys(text: Column) -> Column:

@@ -236,7 +236,7 @@ def edit_scripts(sides: DataFrame, agreement: DataFrame, order: DataFrame) -> Da
     change_kind: added, removed, renamed, moved, retyped, or carried for a field that follows
     its renamed parent. One task holds the schemas of one pair.
     """
-    evidence = agreement.where("shared > 0").select("pair", F.col("old").alias("path"), F.col("new").alias("other"), (1 - F.col("agree") / F.col("shared")).alias("off"))
+    evidence = agreement.where("shared > 0").select("pair", F.col("old").alias("path"), F.col("new").alias("other"), (1 - F.try_divide("agree", "shared")).alias("off"))
     nodes = sides.select("pair", "path", "before", "after", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("off"))
     rows = nodes.unionByName(evidence, allowMissingColumns=True)
 
@@ -264,7 +264,7 @@ def edit_scripts(sides: DataFrame, agreement: DataFrame, order: DataFrame) -> Da
         frame.insert(0, "pair", pair)
         frame["old_types"] = [before.get(r.field_path, "") for r in frame.itertuples()]
         frame["new_types"] = [after.get(r.new_path or r.field_path, "") for r in frame.itertuples()]
-        return frame[["pair", "change_kind", "field_path", "new_path", "old_types", "new_types"]]
+        return frame[["pair", "change_kind", "field_path", "new_path", "old_types", "new_types"]].astype(object)
 
     made = rows.groupBy("pair").applyInPandas(script, "pair int, change_kind string, field_path string, new_path string, old_types string, new_types string")
     later = order.select((F.col("pair") - 1).alias("pair"), "file_name")
