@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.tables import materialized
+
 #: Letters and signs that have the same shape as one of another script or block.
 SAME_SHAPE = {
     # Cyrillic
@@ -41,7 +44,7 @@ NO_GLYPH = ["͏", "ᅟ", "ᅠ", "ㅤ", "ﾠ", "឴", "឵", *map(chr, range(0x18
 SAME_CHARACTER = [range(0x2E80, 0x2FD6), range(0x2160, 0x2180), range(0xF900, 0xFB00), range(0x2F800, 0x2FA20)]
 
 #: Code points in one piece; a piece also takes the marks that follow it, so none is cut from its base.
-PIECE = 1024
+PIECE = 256
 
 
 def _one(c: str) -> str:
@@ -59,6 +62,7 @@ def _one(c: str) -> str:
     return SAME_SHAPE.get(c, c)
 
 
+@cache
 def mapping() -> list[tuple[str, list[tuple[str, int]]]]:
     """(code point, [(code point, combining class)]) of all that change or are combining."""
     out = []
@@ -82,16 +86,17 @@ def canonical(texts: DataFrame, column: str = "text") -> DataFrame:
     White space of any kind becomes a space, none stays at either end; runs of spaces stay
     runs. Case, accents, voicing marks and the size of kana stay. A null text gives no row, an
     empty text and one without any glyph the form ''. Texts of any length are read whole, in
-    pieces that keep marks with their bases. One shuffle (the distinct) serves all groupings.
+    pieces that keep marks with their bases. One shuffle by number serves both groupings.
     """
-    pieces = texts.select(F.col(column).alias("text")).where("text is not null").distinct().select(
-        "text", F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"(?s).{1,%d}[\p{M}\p{Cf}ﾞﾟᅠ-ᇿ]*" % PIECE), F.lit(0))).alias("piece", "part")
-    )
-    points = pieces.select("text", "piece", F.posexplode_outer(F.split(F.coalesce("part", F.lit("")), "")).alias("at", "ch"))
+    # Rows of code points carry a number instead of their text; the text itself goes with the first one only.
+    known = materialized(texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    cut = F.regexp_extract_all("text", F.lit(r"(?s).{1,%d}[\p{M}\p{Cf}ﾞﾟᅠ-ᇿ]*" % PIECE), F.lit(0))
+    pieces = known.repartition("id").select("id", "text", F.posexplode_outer(cut).alias("piece", "part")).withColumn("own", F.when(F.coalesce("piece", F.lit(0)) == 0, F.col("text")))
+    points = pieces.select("id", "piece", "own", F.posexplode_outer(F.split(F.coalesce("part", F.lit("")), "")).alias("at", "ch")).withColumn("own", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("own")))
     # The table is built by rule and bounded by the character set.
     joined = points.join(F.broadcast(mapping_table(texts.sparkSession)), "ch", "left")
     plain = F.array(F.struct(F.col("ch").alias("ch"), F.lit(0).alias("class")))
-    rows = joined.groupBy("text", "piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("becomes", plain).alias("becomes")))).alias("rows"))
+    rows = joined.groupBy("id", "piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("becomes", plain).alias("becomes")))).alias("rows"), F.max("own").alias("own"))
     flat = F.flatten(F.transform("rows", lambda r: r["becomes"]))
     # Each code point gets the number of bases before it; sorting by (base, class, place) is the canonical order of marks.
     numbered = F.transform(flat, lambda x, i: F.struct(i.alias("i"), x["ch"].alias("ch"), x["class"].alias("class")))
@@ -107,8 +112,8 @@ def canonical(texts: DataFrame, column: str = "text") -> DataFrame:
     # Pieces without marks are in order already.
     marks = F.exists(flat, lambda x: x["class"] > 0)
     ordered = F.when(marks, F.array_join(F.transform(F.array_sort(based), lambda x: x["ch"]), "")).otherwise(F.array_join(F.transform(flat, lambda x: x["ch"]), ""))
-    parts = rows.select("text", "piece", ordered.alias("part"))
-    whole = parts.groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"]), "").alias("form"))
+    parts = rows.select("id", "piece", "own", ordered.alias("part"))
+    whole = parts.groupBy("id").agg(F.max("own").alias("text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"]), "").alias("form"))
     return whole.select("text", F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.trim("form"), F.lit(False)).alias("form"))
 
 

@@ -23,6 +23,8 @@ from lexloom.tables import broadcast_if_small, materialized
 
 #: Tokens that the dynamic programme fills at most.
 EXACT = 4096
+#: Lengths that make a budget come out exactly.
+SHORT = 64
 
 
 def subset(counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -56,6 +58,7 @@ def part_of(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
     left = budget - sum(length * n for length, n in taken.items())
     order = sorted(taken)
     random.Random(seed).shuffle(order)
+    order.sort(key=lambda length: length <= SHORT)  # short texts stay for the last tokens
     moved = True
     while left > EXACT and moved:
         moved = False
@@ -68,6 +71,10 @@ def part_of(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
         x = min(x for x in order if taken[x] < counts[x] and x <= left)
         taken[x] += 1
         left -= x
+    for x in sorted(order):  # short texts go back to be chosen anew with what is left
+        while x <= SHORT and taken[x] and left + x <= EXACT:
+            taken[x] -= 1
+            left += x
     for length, n in subset({x: counts[x] - taken[x] for x in order if x <= left and counts[x] > taken[x]}, min(left, EXACT)).items():
         taken[length] += n
     return {length: n for length, n in taken.items() if n}

@@ -367,4 +367,5 @@ def residue(documents: DataFrame) -> DataFrame:
 
 def without_residue(documents: DataFrame) -> DataFrame:
     """The documents that remain, all columns as they were; those with a null id or text remain too."""
-    return documents.join(residue(documents).select(F.col("doc_id").alias("__found")), F.col("doc_id") == F.col("__found"), "left_anti")
+    found = residue(documents).select(F.col("doc_id").alias("__found"))
+    return documents.join(found, documents["doc_id"] == found["__found"], "left_anti")
