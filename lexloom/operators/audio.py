@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,3 +155,68 @@ def audio_read_errors(recordings: DataFrame) -> DataFrame:
         .when(F.sha2("bytes", 256) != F.col("sha256"), "digest differs")
     )
     return recordings.select("file_name", error.alias("error")).where("error is not null")
+
+
+COLLECTION = ["recordings", "licenses", "authors", "chunks", "collection"]
+
+
+def build_collection(recordings: DataFrame, out: str, meta: dict[str, str], chunks: int) -> str:
+    """Writes a collection's tables at ``out``, which must not exist, and returns its revision.
+
+    recordings: file_name (distinct), status, reason, reference_count, source_title, source_sha1, source_timestamp,
+    source_media_type, source_size_bytes, description_url, license_short_name, license_identifier, license_url,
+    author_text, author_urls, attribution_required, blob_sha256, blob_size_bytes. meta: pack_id,
+    corpus_language, source_corpus_pack_id, source_corpus_revision, acquired_at, delivery,
+    builder_revision, minimum_app_version, encoder_profile, format_version.
+    """
+    spark = recordings.sparkSession
+    licence, author = ["license_short_name", "license_identifier", "license_url"], ["author_text", "author_urls_json"]
+    rows = recordings.withColumn("author_text", F.nullif("author_text", F.lit(""))).withColumn("chunk", digest.chunk_for(F.col("file_name"), chunks)).withColumn("all", F.lit(0))
+    found = input_digest(rows, {c: F.col(c) for c in rows.columns}, "all").first()
+    inputs = found.digest if found else hashlib.sha256(len(digest.RECORDING_INPUTS).to_bytes(8, "big") + digest.RECORDING_INPUTS.encode()).hexdigest()
+    row = spark.createDataFrame([{k: str(v) for k, v in meta.items()} | {"chunk_count": chunks, "recording_input_digest": inputs}])
+    revision = row.select(digest.audio_revision({c: F.col(c) for c in row.columns}, F.col("format_version"), F.col("encoder_profile"))).first()[0]
+    flat = rows.withColumn("author_urls_json", F.when(F.size("author_urls") > 0, F.to_json("author_urls"))).drop("author_urls", "all")
+    licences, authors = dictionary(flat, licence, "license_ordinal"), dictionary(flat, author, "author_ordinal")
+    licences.write.parquet(f"{out}/licenses")
+    authors.write.parquet(f"{out}/authors")
+    coded = encoded(encoded(compact(flat), licences, licence, "license_ordinal"), authors, author, "author_ordinal")
+    coded.repartition("chunk").sortWithinPartitions("chunk", "file_name").write.partitionBy("chunk").parquet(f"{out}/recordings")
+    blobs = flat.where("status = 1 and blob_sha256 is not null").select("file_name", F.col("blob_sha256").alias("sha256"), F.col("blob_size_bytes").alias("size_bytes"))
+    chunk_totals(chunked(blobs, chunks)).write.parquet(f"{out}/chunks")
+    row.withColumn("revision", F.lit(revision)).write.parquet(f"{out}/collection")
+    return revision
+
+
+def open_collection(spark: SparkSession, path: str, expected: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a collection; recordings come with licence, author and derived facts restored."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in COLLECTION}
+    if expected is not None and [r.revision for r in tables["collection"].collect()] != [expected]:
+        raise ValueError("unexpected revision")
+    joined = tables["recordings"].join(broadcast_if_small(tables["licenses"]), "license_ordinal", "left").join(broadcast_if_small(tables["authors"]), "author_ordinal", "left")
+    return tables | {"recordings": restored(joined).withColumn("author_urls", F.from_json("author_urls_json", "array<string>")).drop("author_urls_json")}
+
+
+def collection_errors(tables: dict[str, DataFrame]) -> DataFrame:
+    """(check, n_bad): chunk assignment, statuses with and without reasons, unknown ordinals, chunk totals, repeated names."""
+    n = tables["collection"].first().chunk_count
+    rows = tables["recordings"]
+    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit(name).alias("check"), "n_bad")
+    blobs = rows.where("status = 1 and blob_sha256 is not null").select("file_name", F.col("blob_sha256").alias("sha256"), F.col("blob_size_bytes").alias("size_bytes"))
+    counted = chunk_totals(chunked(blobs, n))
+    return (
+        one("chunk", rows.where(digest.chunk_for(F.col("file_name"), n) != F.col("chunk")))
+        .unionByName(one("status", rows.where(~F.col("status").between(1, 4) | ((F.col("status") == 1) != F.col("reason").isNull()))))
+        .unionByName(one("license", rows.where("license_ordinal is not null and coalesce(license_short_name, license_identifier, license_url) is null")))
+        .unionByName(one("author", rows.where("author_ordinal is not null and coalesce(author_text, cast(author_urls as string)) is null")))
+        .unionByName(one("chunk_totals", counted.exceptAll(tables["chunks"].select(*counted.columns)).unionByName(tables["chunks"].select(*counted.columns).exceptAll(counted))))
+        .unionByName(one("repeated_names", rows.groupBy("file_name").count().where("count > 1")))
+    )
+
+
+def reference_set(references_found: DataFrame) -> str:
+    """The references as JSON: names with counts and invalid values with counts, both in byte order. One row per distinct name: a report for one place."""
+    rows = references_found.collect()
+    valid = sorted(((r.file_name, r.n) for r in rows if r.file_name is not None), key=lambda x: x[0].encode())
+    invalid = sorted(((r.authored, r.n) for r in rows if r.file_name is None), key=lambda x: x[0].encode())
+    return json.dumps({"schema_version": 1, "files": valid, "invalid": invalid}, ensure_ascii=False, indent=2) + "\n"

@@ -172,6 +172,32 @@ def test_recordings(spark):
     assert (facts[0].source_size_bytes, facts[0].original_url, facts[0].attribution_required) == (5, "https://u", True) and facts[1].source_sha1 is None and facts[2].source_title is None
 
 
+FACTS = "file_name string, status int, reason string, reference_count long, source_title string, source_sha1 binary, source_timestamp string, source_media_type string, source_size_bytes long, description_url string, license_short_name string, license_identifier string, license_url string, author_text string, author_urls array<string>, attribution_required boolean, blob_sha256 string, blob_size_bytes long"
+
+
+def test_collection_round_trip(spark, tmp_path):
+    rows = [
+        ("A.ogg", 1, None, 2, "File:A.ogg", b"1" * 20, "t", "audio/ogg", 5, "https://commons.wikimedia.org/wiki/File:A.ogg", "CC0", None, None, "me", ["https://u"], True, "aa", 7),
+        ("B.ogg", 1, None, 1, "File:Other.ogg", b"2" * 20, "t", "audio/ogg", 5, "https://elsewhere", "CC0", None, None, "", [], False, "aa", 7),
+        ("C.ogg", 3, "missing", 1, None, None, None, None, None, None, None, None, None, None, [], None, None, None),
+    ]
+    df = spark.createDataFrame(rows, FACTS)
+    meta = {"pack_id": "p", "corpus_language": "xx", "source_corpus_pack_id": "c", "source_corpus_revision": "ab" * 32, "acquired_at": "t", "delivery": "remote", "builder_revision": "b", "minimum_app_version": "1", "encoder_profile": "", "format_version": 1}
+    revision = audio.build_collection(df, str(tmp_path / "a"), meta, 3)
+    assert audio.build_collection(df.orderBy(F.desc("file_name")), str(tmp_path / "b"), meta, 3) == revision
+    tables = audio.open_collection(spark, str(tmp_path / "a"), revision)
+    back = {r.file_name: r for r in tables["recordings"].collect()}
+    assert (back["A.ogg"].source_title, back["A.ogg"].description_url, back["A.ogg"].author_urls, back["A.ogg"].license_short_name) == ("File:A.ogg", rows[0][9], ["https://u"], "CC0")
+    assert (back["B.ogg"].source_title, back["B.ogg"].description_url, back["B.ogg"].author_text, back["C.ogg"].source_title) == ("File:Other.ogg", "https://elsewhere", None, None)
+    assert audio.collection_errors(tables).where("n_bad > 0").count() == 0
+    broken = tables | {"recordings": tables["recordings"].withColumn("reason", F.lit("x"))}
+    assert [r.check for r in audio.collection_errors(broken).where("n_bad > 0").collect()] == ["status"]
+    with pytest.raises(ValueError):
+        audio.open_collection(spark, str(tmp_path / "a"), "0" * 64)
+    found = spark.createDataFrame([("b", None, 1), ("a", None, 2), (None, "bad", 3)], "file_name string, authored string, n long")
+    assert json.loads(audio.reference_set(found)) == {"schema_version": 1, "files": [["a", 2], ["b", 1]], "invalid": [["bad", 3]]}
+
+
 def ogg(serial, flags, granule, body):
     return b"OggS\0" + bytes([flags]) + granule.to_bytes(8, "little", signed=True) + serial + bytes(8) + bytes([1, len(body)]) + body
 
