@@ -416,7 +416,7 @@ def oracle_sql() -> dict[str, str]:
         "r_view_order": "SELECT language, (row_number() OVER (ORDER BY language <> 'ja', language))::INT AS place FROM (SELECT DISTINCT corpus_language AS language FROM pack_metadata)",
         "r_snapshot_revision": f"WITH n AS (SELECT pack_id, arg_max(pack_revision, kaikki_extraction_date || pack_revision) AS pack_revision FROM pack_metadata GROUP BY 1) SELECT sha256({_f(chr(39) + digest.SNAPSHOT + chr(39))} || {_f(_u64('count(*)'), True)} || unhex({views})) AS revision, count(*)::INT AS n_views FROM n",
         "r_selected_records": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY line_number) - 1 AS selected_ordinal, line_number, byte_offset, json_extract_string(j, '$.word') AS word, len(list_filter(coalesce(json_extract_string(j, '$.forms[*].form'), []), lambda x: x <> '' AND x <> '-'))::INT AS n_forms, sha256(source_json) AS record_sha256, strlen(source_json)::INT AS n_bytes FROM ja",
-        "r_source_errors": f"WITH {_LINES} SELECT line_number, byte_offset, CASE WHEN NOT starts_with(ltrim(source_json), '{{' ) THEN 'is not a JSON object' ELSE 'is malformed JSON' END AS error FROM l0 WHERE line_number NOT IN (SELECT line_number FROM j) UNION ALL SELECT line_number, byte_offset, 'has no `forms[' || (bad - 1) || '].form`' FROM jx WHERE bad > 0",
+        "r_source_errors": f"WITH {_LINES} SELECT line_number, byte_offset, CASE WHEN source_json = '' THEN 'is empty' WHEN NOT starts_with(ltrim(source_json), '{{' ) THEN 'is not a JSON object' ELSE 'is malformed JSON' END AS error FROM l0 WHERE line_number NOT IN (SELECT line_number FROM j) UNION ALL SELECT line_number, byte_offset, 'has no `forms[' || (bad - 1) || '].form`' FROM jx WHERE bad > 0",
         "r_source_offsets": f"WITH {_LINES} SELECT line_number, coalesce(sum(strlen(source_json) + 1) OVER (ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS running_offset FROM l0",
         "r_record_digests": f"WITH {_LINES} SELECT line_number, sha256(source_json) AS sha256, strlen(source_json)::INT AS n_bytes FROM l0",
         "r_entry_ids": f"SELECT pack_revision, selected_ordinal, sha256({_f(chr(39) + digest.ENTRY_ID + chr(39))} || {_f('unhex(pack_revision)', True)} || {_f(_u64('source_line_number'), True)} || {_f('record_sha256', True)}) AS derived_id FROM (SELECT DISTINCT pack_revision, selected_ordinal, source_line_number, record_sha256 FROM records)",
