@@ -2,7 +2,7 @@
 
 Documents are counted by source and exact token length. A source that is larger than its
 budget gives whole passes first; for the rest of the budget each length gives its proportional
-number of documents, rounded down, further lengths give one more in seeded order while they
+number of documents, and where that isn't enough one more in seeded order while they
 fit, and a bounded-knapsack dynamic programme over the counts that are left fills the last few
 thousand tokens, to the token where some sum allows it. Which documents of a length are taken
 follows a seeded hash: their ranks are found in parallel, hot lengths in salted parts.
@@ -54,8 +54,17 @@ def part_of(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
     total = sum(length * n for length, n in counts.items())
     if budget <= 0 or total <= 0:
         return {}
-    taken = {length: min(n, n * budget // total) for length, n in counts.items() if length > 0}
+    # Every total/budget-th document along the lengths, from a seeded start: the lengths keep their distribution.
+    taken, seen, start = {}, 0, random.Random(seed).randrange(total)
+    for length in sorted(x for x in counts if x > 0):
+        before = (seen * budget + start) // total
+        seen += counts[length]
+        taken[length] = (seen * budget + start) // total - before
     left = budget - sum(length * n for length, n in taken.items())
+    while left < 0:
+        x = min((x for x in taken if taken[x] and x >= -left), default=max(x for x in taken if taken[x]))
+        taken[x] -= 1
+        left += x
     order = sorted(taken)
     random.Random(seed).shuffle(order)
     order.sort(key=lambda length: length <= SHORT)  # short texts stay for the last tokens
@@ -72,7 +81,7 @@ def part_of(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
         taken[x] += 1
         left -= x
     for x in sorted(order):  # short texts go back to be chosen anew with what is left
-        while x <= SHORT and taken[x] and left + x <= EXACT:
+        while x <= SHORT and taken[x] and left + x <= 4 * SHORT:
             taken[x] -= 1
             left += x
     for length, n in subset({x: counts[x] - taken[x] for x in order if x <= left and counts[x] > taken[x]}, min(left, EXACT)).items():

@@ -159,19 +159,27 @@ _MESSAGE = re.compile("|".join(f"(?:{p % {'s': _SUBJECT}})" if "%(s)s" in p else
 _PAGE_UNIT = re.compile(rf"^\W*(?:{_STATUS}\s*[-–:：.]?\s*)?(?:oops!?\s*)?(?:{_MESSAGE.pattern}){_TAIL}\W*$", re.I)
 _STATUS_UNIT = re.compile(r"^\W*(?:\*{3}\s*)?(?:(?:HTTP|Status|Error|Fehler|Erreur)[ :]+)[1-5]\d\d\b\W*$|^\W*</?noscript>\W*$", re.I)
 _STATUS_LINE = re.compile(r"^\W*(?:\*{3}\s*)?(?:HTTP|Status|Error)[ :]+[1-5]\d\d\b\s*[-–:]?\s*\S.{2,80}$", re.I)
+_STATUS_HINT = re.compile(r"(?:http|status|error|fehler|erreur)[ :]+[1-5]\d\d|<", re.I)
 _SPAN_HINT = re.compile(r"[{<&$#@\[]|%[A-Z(]|__|TBD|TODO|FIXME|XXX|undefined|null|NaN|None")
-_FILLER_HINT = re.compile(
-    r"lorem|ipsum|(?:%s)\W+(?:%s)\b|asdf|qwerty|blah|test test|foo bar|テスト|あああ|ダミー|（仮）|ここに|本文|してください|を書く|mustertext|blindtext|hier d|saisissez|eintragen|draft|missing |hier steht|noch einfügen|bitte ersetzen|faux texte|démonstration|texte"
-    r"|ajouter|insérer|remplacer|relleno|prueba|aquí|insertar|falta|sustituir|sample text|dummy|placeholder|goes here|your |insert |\badd |replace |write a|publish" % (_LOREM, _LOREM),
-    re.I,
-)
-#: Some word of each message: most units are passed over without trying the long pattern.
-_HINT = re.compile(
-    r"deleted|could not|can(?:no|')t|available|too long|unexpected|in time|maintenance|found|server|database|too many|denied|expired?|permission|went wrong|gateway|forbidden|traceback|pas pu|inaccessible|plus|répond|erreur|introuvable|refusé"
-    r"|indisponible|expiré|interno|gefunden|混み合|お試し|sitzung|geladen|existiert|antwortet|erreichbar|fehler|verweigert|abgelaufen|verfügbar|cargar|ya no|responde|no está|encontrada|denegado|caducado|読み込め|見つかり|応答|利用いただけ|削除|存在|接続|アクセス|エラー|セッション|メンテナンス"
-    r"|script|スクリプト|checking your|skript",
-    re.I,
-)
+#: What every filler has somewhere, in lower case; most texts are passed over without trying a pattern.
+_FILLER_WORDS = (
+    *("lorem ipsum dolor amet velit urna porta tempor magna orci nulla vero aliqua massa consectetur adipiscing elit".split()),
+    *("asdf qwerty blah テスト あああ ダミー （仮） ここに 本文 してください を書く mustertext blindtext eintragen einfügen ersetzen folgt später hier démonstration texte ajouter insérer remplacer saisissez".split()),
+    *("relleno prueba aquí insertar falta sustituir dummy placeholder insert replace publish draft missing".split()),
+    *("test", "foo", "sample text", "text goes here", "your ", "add the", "add your", "add this", "write a short"),
+)
+#: The same for messages and notices.
+_MESSAGE_WORDS = (
+    *("deleted could cannot can't available respond unexpected answer maintenance found server database requests denied expire permission wrong gateway forbidden traceback".split()),
+    *("pas inaccessible répond erreur introuvable refusé indisponible expiré interno nicht geladen existiert antwortet fehler verweigert abgelaufen verfügbar sitzung".split()),
+    *("cargar responde está encontrada denegado caducado existe 読み込め 見つかり 応答 利用いただけ 削除 存在 接続 アクセス エラー セッション メンテナンス 混み合 お試し script スクリプト skript checking".split()),
+)
+
+
+def hinted(low: str, words: tuple[str, ...]) -> bool:
+    return any(word in low for word in words)
+
+
 #: Messages are short; a longer unit is prose.
 MESSAGE_LENGTH = 300
 _QUOTED = re.compile(r"“[^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»|「[^「」\n]*」|『[^『』\n]*』|\"[^\"\n]*\"")
@@ -204,7 +212,7 @@ def units(text: str) -> list[str]:
 
 
 def is_message(text: str) -> bool:
-    return len(text) <= MESSAGE_LENGTH and bool(_HINT.search(text)) and bool(_PAGE_UNIT.match(text))
+    return len(text) <= MESSAGE_LENGTH and hinted(text.lower(), _MESSAGE_WORDS) and bool(_PAGE_UNIT.match(text))
 
 
 def literals(unit: str, spans: list[tuple[int, int]]) -> list[list[str]]:
@@ -242,10 +250,10 @@ def examine(unit: str) -> tuple[str, list[tuple[int, int]]]:
     if not bare:
         return ("page", [(0, len(unit))]) if unit else ("plain", [])
     quoted = [m.span() for m in _QUOTED.finditer(unit)]
-    if not quoted and is_message(bare) or _STATUS_UNIT.match(bare) or _STATUS_LINE.match(bare) or bare != unit and _HINT.search(bare):
+    if not quoted and is_message(bare) or _STATUS_UNIT.match(bare) or _STATUS_LINE.match(bare) or bare != unit and hinted(bare.lower(), _MESSAGE_WORDS):
         return "page", [(0, len(unit))]
     spans = [m.span() for m in _SPAN.finditer(unit)] if _SPAN_HINT.search(unit) else []
-    spans += [m.span() for m in _FILLER.finditer(unit)] if _FILLER_HINT.search(unit) else []
+    spans += [m.span() for m in _FILLER.finditer(unit)] if hinted(unit.lower(), _FILLER_WORDS) else []
     for a, b in quoted:
         inner = unit[a + 1 : b - 1].strip()
         if is_message(inner) or any(is_message(x) for x in _CUT.split(inner) if x.strip()):
@@ -279,6 +287,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not suspicious(text):
+                continue
             for i, unit in enumerate(units(text)):
                 kind, spans = examine(unit)
                 if kind != "plain":
@@ -306,9 +316,9 @@ def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
             seen: Counter = Counter()
             held: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                short = set()
+                short, clean = set(), not suspicious(text)
                 for unit in units(text):
-                    spans = examine(unit)[1] if _maybe(unit) else []
+                    spans = [] if clean or not _maybe(unit) else examine(unit)[1]
                     seen.update(t for t in pieces(literals(unit, spans)) if bits[bucket(t)])
                     if len(unit) <= LINE_LENGTH:
                         short.add(masked(unit))
@@ -320,8 +330,13 @@ def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
     return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(rows, "kind string, key string, doc_id long, n long")
 
 
+def suspicious(text: str) -> bool:
+    """Whether any unit of the text can be other than plain."""
+    return _maybe(" ".join(text.split())) or bool(_STATUS_HINT.search(text))
+
+
 def _maybe(unit: str) -> bool:
-    return bool(_SPAN_HINT.search(unit) or _FILLER_HINT.search(unit) or _HINT.search(unit))
+    return bool(_SPAN_HINT.search(unit)) or hinted(low := unit.lower(), _FILLER_WORDS) or hinted(low, _MESSAGE_WORDS)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
