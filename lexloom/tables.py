@@ -25,6 +25,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: a table in fewer splits than there are cores is redistributed, a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
