@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.ranks import ranked
 from lexloom.llm.tokens import VOCABULARY, token_count
-from lexloom.tables import broadcast_if_small, materialized
+from lexloom.tables import broadcast_if_small, materialized, spread
 
 #: Tokens that the dynamic programme fills at most.
 EXACT = 4096
@@ -114,7 +114,7 @@ def select(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     for r in targets.select("source", "target_share", "max_repeats").where("source is not null").distinct().orderBy("target_share", "max_repeats").collect():
         wanted[r.source] = (float(r.target_share or 0), int(r.max_repeats or 0))
     sized = documents.join(broadcast_if_small(targets.select("source").where("source is not null").distinct()), "source", "left_semi")
-    sized = materialized(sized.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens")).where("tokens > 0"))
+    sized = materialized(spread(sized.select("doc_id", "source", "text")).select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens")).where("tokens > 0"))
     lengths: dict[str, dict[int, int]] = {}
     for r in sized.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")).collect():
         lengths.setdefault(r.source, {})[r.tokens] = r.n

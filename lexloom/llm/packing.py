@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.ranks import ranked
 from lexloom.llm.tokens import VOCABULARY, token_count
-from lexloom.tables import broadcast_if_small, materialized
+from lexloom.tables import broadcast_if_small, materialized, spread
 
 SEGMENT = "size int, first_rank long, last_rank long, container long, each int, start int"
 
@@ -83,7 +83,7 @@ def pack(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) -> D
     """
     if capacity < 1:
         raise ValueError("a container must hold at least one token")
-    sizes = materialized(documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("all_tokens")))
+    sizes = materialized(spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), vocabulary).alias("all_tokens")))
     empty = sizes.where("all_tokens = 0").select(
         "doc_id", F.lit(0).alias("piece"), F.lit(0).alias("tokens"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("start")
     )

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.tables import broadcast_if_small, materialized
+from lexloom.tables import broadcast_if_small, materialized, spread
 
 #: A slot mentions residue if this share of its template's units have some.
 MENTION = 0.5
@@ -299,7 +299,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suspects(documents: DataFrame) -> DataFrame:
     read = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return read.mapInArrow(_scan, "doc_id long, unit int, kind string, masked string, triples array<string>, pieces array<string>, quoted boolean")
+    return spread(read).mapInArrow(_scan, "doc_id long, unit int, kind string, masked string, triples array<string>, pieces array<string>, quoted boolean")
 
 
 def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], ["kind", "key", "doc_id", "n"])
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(rows, "kind string, key string, doc_id long, n long")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(rows, "kind string, key string, doc_id long, n long")
 
 
 def suspicious(text: str) -> bool:
