@@ -26,15 +26,14 @@ def lookup(queries: DataFrame, keys: DataFrame, limit: int = DEFAULT_LIMIT) -> D
         raise ValueError(f"limit must be 1 to {MAX_RESULTS}")
     stages = asked.select("query", F.posexplode(F.concat(lookup_keys(F.col("query")), lookup_keys(F.col("query")))).alias("n", "key"))
     stages = broadcast_if_small(stages.select("query", (F.col("n") + 1).alias("match_class"), "key"))
+    # The index is only scanned: no shuffle but that of the hits, whose extra rows are dropped before it.
     hits = keys.select("match_class", "key", "selected_ordinal").join(stages, ["match_class", "key"]).select("query", "match_class", "selected_ordinal").distinct()
-    # The best class first, by an aggregate: no window over all hits of a query.
-    best = hits.groupBy("query").agg(F.min("match_class").alias("match_class"))
-    first = hits.join(best, ["query", "match_class"])
-    # At most limit + 1 records of a query survive the partial top-k, however many match.
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("selected_ordinal"))
-    top = first.withColumn("rank", rank).where(F.col("rank") <= limit + 1)
-    cut = top.groupBy("query").agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    return top.where(F.col("rank") <= limit).join(cut, "query").select("query", "match_class", "selected_ordinal", "rank", "truncated")
+    # In this order the first limit + 1 rows of a query decide; a partial top-k keeps no more of them on either side of the shuffle.
+    by_query = Window.partitionBy("query")
+    rank = F.row_number().over(by_query.orderBy("match_class", "selected_ordinal"))
+    top = hits.withColumn("rank", rank).where(F.col("rank") <= limit + 1).withColumn("best", F.min("match_class").over(by_query)).where("match_class = best")
+    cut = F.count(F.lit(1)).over(by_query) > limit
+    return top.withColumn("truncated", cut).where(F.col("rank") <= limit).select("query", "match_class", "selected_ordinal", "rank", "truncated")
 
 
 def query_errors(queries: DataFrame, limit: int) -> DataFrame:

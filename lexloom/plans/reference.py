@@ -59,9 +59,13 @@ def expected_keys(spark: SparkSession, sf: str) -> DataFrame:
     return keys.key_table(records.join(ordinals, "source_line_number"))
 
 
-def stored_keys(spark: SparkSession, sf: str) -> DataFrame:
+def stored_rows(spark: SparkSession, sf: str) -> DataFrame:
     stored = table(spark, sf, "lookup_keys").select("match_class", F.try_validate_utf8(F.col("key_utf8").cast("string")).alias("key"), "selected_ordinal", "authored_key_ordinal")
-    return stored.where("key is not null").distinct()
+    return stored.where("key is not null")
+
+
+def stored_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_rows(spark, sf).distinct()
 
 
 def r_lookup_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +85,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.lookup(asked(spark, sf), stored_keys(spark, sf))
+    return lookup.lookup(asked(spark, sf), stored_rows(spark, sf))
 
 
 def r_lookup_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,6 +446,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT file_name, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk, (v % {SHARDS})::INT + 1 AS shard FROM f WHERE 2 * i = length(h)""",
         "r_description_urls": f"SELECT DISTINCT file_name, 'File:' || file_name AS title, '{text.PAGE}' || {_URL.format(chr(39) + 'File:' + chr(39) + ' || file_name')} AS url FROM commons_fixtures WHERE file_name IS NOT NULL",
         "r_facts_digests": f"WITH {_REC} SELECT recording_id, sha256({_FACTS}) AS facts_sha256 FROM c",
+        "r_input_digests": f"WITH {_REC}, m AS (SELECT *, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk FROM c WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY recording_id DESC) = 1) SELECT chunk, sha256({_f(chr(39) + digest.RECORDING_INPUTS + chr(39))} || unhex(string_agg(hex({_FACTS}), '' ORDER BY encode(file_name)))) AS digest, count(*) AS n_records FROM m GROUP BY 1",
+        "r_audio_references": f"""WITH {_LINES}, a AS (SELECT json_extract_string(s, '$.audio') AS a FROM (SELECT unnest(json_extract(j, '$.sounds[*]')) AS s FROM ja) WHERE json_type(json_extract(s, '$.audio')) = 'VARCHAR'),
+            b AS (SELECT a, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(a, '%') THEN url_decode(replace(a, '+', '%2B')) ELSE a END, '^[\\s\u3000\u00a0]+', ''), '^(File:)+', ''), '^(file:)+', ''), '_', ' '), '[\\s\u3000\u00a0]+', ' ', 'g')) AS n FROM a),
+            p AS (SELECT CASE WHEN n <> '' AND strlen(n) <= 255 AND contains(n, '.') AND NOT regexp_matches(n, '[/\\\\#<>\\[\\]|{{}}[:cntrl:]]') THEN upper(left(n, 1)) || substr(n, 2) END AS file_name, a FROM b)
+            SELECT file_name, CASE WHEN file_name IS NULL THEN a END AS authored, count(*) AS n FROM p GROUP BY 1, 2""",
         "r_compact_facts": f"WITH {_REC} SELECT recording_id, CASE WHEN sha1 IS NOT NULL THEN coalesce(commons_title, 'File:' || file_name) WHEN commons_title <> 'File:' || file_name THEN commons_title END AS source_title, CASE WHEN sha1 IS NOT NULL THEN coalesce(description_url, '{text.PAGE}' || {_URL.format('coalesce(commons_title, ' + chr(39) + 'File:' + chr(39) + ' || file_name)')}) WHEN description_url <> '{text.PAGE}' || {_URL.format('coalesce(commons_title, ' + chr(39) + 'File:' + chr(39) + ' || file_name)')} THEN description_url END AS restored_url FROM c",
         "r_keyset_page": "WITH n AS (SELECT DISTINCT file_name FROM commons_fixtures WHERE file_name IS NOT NULL) SELECT file_name FROM n ORDER BY encode(file_name) LIMIT 100 OFFSET 100",
         "r_bounded_texts": f"SELECT doc_id, CASE WHEN strlen(text) <= {TEXT_BYTES} THEN text ELSE list_max(list_filter(list_transform(range(0, {TEXT_BYTES} + 1), lambda n: left(text, n::INT)), lambda p: strlen(p) <= {TEXT_BYTES})) END AS value, strlen(text) > {TEXT_BYTES} AS truncated FROM documents",
