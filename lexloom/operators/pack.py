@@ -179,8 +179,8 @@ def authenticated(tables: dict[str, DataFrame]) -> DataFrame:
     """Entries joined with their records, one boolean per fact that must agree."""
     e, r = tables["entries"].alias("e"), tables["records"].withColumn("source_bytes", decompressed("payload")).alias("r")
     facts = ["line_number", "byte_offset", "authored_headword", "language_code", "uncompressed_size_bytes", "compressed_size_bytes", "record_sha256", "entry_id"]
-    revision = tables["pack_metadata"].select(F.col("pack_revision").alias("revision"))
-    joined = e.join(r, (F.col("e.selected_ordinal") == F.col("r.selected_ordinal")) & (F.col("e.shard_ordinal") == F.col("r.shard_ordinal")), "full").crossJoin(F.broadcast(revision.limit(1)))
+    revision = F.lit(tables["pack_metadata"].first().pack_revision)
+    joined = e.join(r, (F.col("e.selected_ordinal") == F.col("r.selected_ordinal")) & (F.col("e.shard_ordinal") == F.col("r.shard_ordinal")), "full")
     agree = F.lit(True)
     for c in facts:
         agree = agree & F.col(f"e.{c}").eqNullSafe(F.col(f"r.{c}"))
@@ -190,7 +190,7 @@ def authenticated(tables: dict[str, DataFrame]) -> DataFrame:
         agree.alias("facts_agree"),
         (F.octet_length("r.source_bytes") == F.col("e.uncompressed_size_bytes")).alias("size_agrees"),
         (F.unhex(F.sha2("r.source_bytes", 256)) == F.col("e.record_sha256")).alias("digest_agrees"),
-        (digest.entry_id(F.col("revision"), F.col("e.line_number"), F.col("e.record_sha256")) == F.col("e.entry_id")).alias("identity_agrees"),
+        (digest.entry_id(revision, F.col("e.line_number"), F.col("e.record_sha256")) == F.col("e.entry_id")).alias("identity_agrees"),
     )
 
 

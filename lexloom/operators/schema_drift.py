@@ -79,12 +79,12 @@ def schema_paths(files: DataFrame) -> DataFrame:
 def path_sides(paths: DataFrame, order: DataFrame) -> DataFrame:
     """(pair, path, before, after): the sorted types of a path in file ``pair`` and in the next one; null where it is absent."""
     typed = paths.join(broadcast_if_small(order), "file_name").groupBy("pair", "path").agg(F.sort_array(F.collect_set("kind")).alias("types"))
-    last = order.agg(F.max("pair").alias("last"))
+    last = order.agg(F.max("pair")).first()[0]
     sides = typed.select(F.explode(F.array(F.struct("pair", F.lit(0).alias("side")), F.struct((F.col("pair") - 1).alias("pair"), F.lit(1).alias("side")))).alias("x"), "path", "types")
     both = sides.groupBy("x.pair", "path").agg(
         F.max(F.when(F.col("x.side") == 0, F.array_join("types", "|"))).alias("before"), F.max(F.when(F.col("x.side") == 1, F.array_join("types", "|"))).alias("after")
     )
-    return both.join(F.broadcast(last), F.col("pair").between(0, F.col("last") - 1)).drop("last")
+    return both.where((F.col("pair") >= 0) & (F.col("pair") < F.lit(last)))
 
 
 def value_agreement(files: DataFrame, order: DataFrame, sides: DataFrame, word: str) -> DataFrame:

@@ -282,8 +282,8 @@ def r_compact_facts(spark: SparkSession, sf: str) -> DataFrame:
 def r_keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     """The second page of a hundred names: the feature is the limit."""
     names = recordings(spark, sf).select("file_name").where("file_name is not null").distinct()
-    cursor = names.orderBy("file_name").limit(100).agg(F.max("file_name").alias("cursor"))
-    return names.join(F.broadcast(cursor), F.col("file_name") > F.col("cursor")).select("file_name").orderBy("file_name").limit(100)
+    cursor = names.orderBy("file_name").limit(100).agg(F.max("file_name")).first()[0]
+    return names.where(F.col("file_name") > F.lit(cursor)).orderBy("file_name").limit(100)
 
 
 def r_bounded_texts(spark: SparkSession, sf: str) -> DataFrame:
