@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.ranks import ranked
@@ -136,7 +136,6 @@ def select(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     asked = spark.createDataFrame([(s, share, n, totals.get(s, 0), goal.get(s, 0)) for s, (share, n) in wanted.items()], "source string, target_share double, max_repeats int, source_tokens long, budget_tokens long")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = asked.join(made, "source", "left").select("source", "target_share", "max_repeats", "source_tokens", "budget_tokens", zero("taken_tokens"), zero("documents"), zero("most_repeats"))
-    total = joined.agg(F.sum("taken_tokens").alias("total"))
-    # One row, broadcast.
-    shares = joined.crossJoin(F.broadcast(total)).withColumn("actual_share", F.when(F.col("total") > 0, F.col("taken_tokens") / F.col("total")).otherwise(F.lit(0.0))).drop("total")
+    total = F.sum("taken_tokens").over(Window.partitionBy())  # one row per source
+    shares = joined.withColumn("actual_share", F.coalesce(F.try_divide(F.col("taken_tokens"), total), F.lit(0.0)))
     return selection, shares

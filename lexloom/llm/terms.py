@@ -133,7 +133,6 @@ def record_terms(lines: DataFrame) -> DataFrame:
 
 def marked(counts: DataFrame, records: DataFrame) -> DataFrame:
     """Adds the share of all records and a mark: rare, common or null. records: one row per record."""
-    total = records.agg(F.count(F.lit(1)).alias("total"))
-    mark = F.when(F.col("records") <= RARE_RECORDS, "rare").when(F.col("records") > F.col("total") * COMMON_SHARE, "common")
-    # One row, broadcast.
-    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("records") / F.col("total")).withColumn("mark", mark).drop("total")
+    total = F.lit(records.count())
+    mark = F.when(F.col("records") <= RARE_RECORDS, "rare").when(F.col("records") > total * COMMON_SHARE, "common")
+    return counts.withColumn("share", F.try_divide(F.col("records"), total)).withColumn("mark", mark)
