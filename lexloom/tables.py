@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +28,36 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
+_reachable: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for Python workers, once per application.
+
+    A small job asks the executors; only where one can't import the package it is sent to them
+    with the application's files.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _reachable:
+        return
+    _reachable.add(app)
+
+    def probe(batches):
+        import importlib.util
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(importlib.util.find_spec("lexloom") is not None)], pa.int32())], ["found"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    if spark.range(0, tasks, 1, tasks).mapInArrow(probe, "found int").where("found = 0").count():
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="lexloom-code-")  # code on the driver, served to the executors by Spark
+        atexit.register(shutil.rmtree, folder, True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/lexloom", "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy per row: a table in fewer splits than there are cores is redistributed, a larger one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
