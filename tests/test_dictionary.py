@@ -251,3 +251,23 @@ def test_streaming_ingest(spark, tmp_path):
     run()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.word or "", r.error or "") for r in rows) == [("", "is malformed JSON"), ("a", ""), ("b", ""), ("c", "")]
+
+
+def test_release_and_route_differences(spark):
+    schema = "file_name string, size_bytes long, sha256 string"
+    declared = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 3, "x"), ("d", 4, "x"), ("e", 5, "x")], schema)
+    published = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 9, "x"), ("d", 4, "z"), ("f", 1, "x")], schema)
+    assert {tuple(r) for r in catalog.published_differences(declared, published).collect()} == {("c", "size differs"), ("d", "digest differs"), ("e", "not published")}
+    assert {tuple(r) for r in catalog.route_differences(declared.where("file_name < 'c'"), published.where("file_name in ('b', 'f')")).collect()} == {("a", "surplus"), ("f", "missing")}
+    docs = spark.createDataFrame([(0, json.dumps({"catalog_version": 1, "catalog_revision": "a", "generated_at": "b", "packs": [CORPUS | {"release": RELEASE | {"assets": [{"file_name": "manifest.json", "url": "https://x/tag-1/manifest.json", "size_bytes": 3, "sha256": "s"}]}}]}))], "n int, body string")
+    rows = catalog.assets(docs, "body")
+    assert [(r.tag, r.n_tags) for r in catalog.release_tags(rows).collect()] == [("tag-1", 1)]
+    assert catalog.expected_pack(rows, "p", "r", "manifest.json").first().sha256 == "s" and catalog.expected_pack(rows, "p", "q", "manifest.json").count() == 0
+
+
+def test_package_is_sent_where_it_is_missing(spark):
+    from lexloom.tables import ship
+
+    ship(spark)
+    ship(spark)
+    assert spark.range(4).mapInPandas(lambda it: (__import__("pandas").DataFrame({"n": [len(__import__("lexloom").__name__)] * len(p)}) for p in it), "n long").first().n == 7
