@@ -446,6 +446,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT file_name, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk, (v % {SHARDS})::INT + 1 AS shard FROM f WHERE 2 * i = length(h)""",
         "r_description_urls": f"SELECT DISTINCT file_name, 'File:' || file_name AS title, '{text.PAGE}' || {_URL.format(chr(39) + 'File:' + chr(39) + ' || file_name')} AS url FROM commons_fixtures WHERE file_name IS NOT NULL",
         "r_facts_digests": f"WITH {_REC} SELECT recording_id, sha256({_FACTS}) AS facts_sha256 FROM c",
+        "r_entries": f"""WITH {_LINES}, {trans}, n AS (SELECT line_number, count(*) AS n FROM st GROUP BY 1), g AS (SELECT line_number, count(*) AS k FROM ({relations}) WHERE total > 0 GROUP BY 1)
+            SELECT ja.line_number, json_extract_string(j, '$.word') AS headword, json_extract_string(j, '$.pos') AS part_of_speech, json_extract_string(j, '$.etymology_number') AS etymology_number,
+            coalesce(json_array_length(j, '$.senses'), 0)::BIGINT AS n_senses, coalesce(json_array_length(j, '$.forms'), 0)::BIGINT AS n_forms, coalesce(json_array_length(j, '$.sounds'), 0)::BIGINT AS n_pronunciations,
+            coalesce(json_array_length(j, '$.translations'), 0)::BIGINT AS n_translations, coalesce(n.n, 0) AS sense_translation_total, coalesce(g.k, 0)::INT AS n_relation_kinds, false AS truncated, NULL::VARCHAR AS error
+            FROM ja LEFT JOIN n USING (line_number) LEFT JOIN g USING (line_number)""",
+        "r_identity_errors": """WITH p AS (SELECT DISTINCT * FROM pack_metadata) SELECT pack_id, pack_revision, unnest(list_filter([
+            CASE WHEN NOT (regexp_full_match(pack_id, '[a-z](-?[a-z0-9])*') AND length(pack_id) <= 64) THEN 'invalid pack id' END,
+            CASE WHEN coalesce(corpus_language, '') = '' THEN 'empty corpus_language' END, CASE WHEN coalesce(wiktionary_edition, '') = '' THEN 'empty wiktionary_edition' END, CASE WHEN coalesce(source_url, '') = '' THEN 'empty source_url' END,
+            CASE WHEN coalesce(builder_revision, '') = '' THEN 'empty builder_revision' END, CASE WHEN coalesce(minimum_app_version, '') = '' THEN 'empty minimum_app_version' END,
+            CASE WHEN coalesce(wiktextract_revision, '') = '' THEN 'empty wiktextract_revision' END, CASE WHEN coalesce(wikitextprocessor_revision, '') = '' THEN 'empty wikitextprocessor_revision' END,
+            CASE WHEN NOT coalesce(regexp_matches(wiktionary_dump_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}'), false) THEN 'wiktionary_dump_date is not an ISO date' END,
+            CASE WHEN NOT coalesce(regexp_matches(kaikki_extraction_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}'), false) THEN 'kaikki_extraction_date is not an ISO date' END,
+            CASE WHEN kaikki_extraction_date < wiktionary_dump_date THEN 'extraction predates its dump' END, CASE WHEN NOT regexp_full_match(pack_revision, '[0-9a-f]{64}') THEN 'malformed revision' END,
+            CASE WHEN coalesce(octet_length(compressed_source_sha256), 0) <> 32 THEN 'compressed_source_sha256 is not 32 bytes' END, CASE WHEN coalesce(octet_length(uncompressed_source_sha256), 0) <> 32 THEN 'uncompressed_source_sha256 is not 32 bytes' END,
+            CASE WHEN coalesce(target_shard_payload_bytes, 0) <= 0 THEN 'target_shard_payload_bytes must be positive' END], lambda x: x IS NOT NULL)) AS error FROM p""",
         "r_input_digests": f"WITH {_REC}, m AS (SELECT *, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk FROM c WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY recording_id DESC) = 1) SELECT chunk, sha256({_f(chr(39) + digest.RECORDING_INPUTS + chr(39))} || unhex(string_agg(hex({_FACTS}), '' ORDER BY encode(file_name)))) AS digest, count(*) AS n_records FROM m GROUP BY 1",
         "r_audio_references": f"""WITH {_LINES}, a AS (SELECT json_extract_string(s, '$.audio') AS a FROM (SELECT unnest(json_extract(j, '$.sounds[*]')) AS s FROM ja) WHERE json_type(json_extract(s, '$.audio')) = 'VARCHAR'),
             b AS (SELECT a, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(a, '%') THEN url_decode(replace(a, '+', '%2B')) ELSE a END, '^[\\s\u3000\u00a0]+', ''), '^(File:)+', ''), '^(file:)+', ''), '_', ' '), '[\\s\u3000\u00a0]+', ' ', 'g')) AS n FROM a),
