@@ -45,32 +45,34 @@ LINE_LENGTH = 120
 #: Hash buckets of the triples worth counting; a table of so many bits goes to each task, whatever the data.
 BUCKETS = 1 << 22
 
-#: A variable's name as templates write it, filters and attributes included.
-_NAME = r"[A-Za-z_][\w.\- ]{0,39}(?:![rsa]|:[\w.]{1,10})?"
+#: A variable's name as templates write it, attributes included; one letter is enough.
+_NAME = r"[A-Za-z_][\w.\- ]*(?:![rsa]|:[\w.]{1,10})?"
+#: Defaults and filters after it, of any length.
+_FILTERS = r"(?:\|[^{}]*)?"
 
 #: Delimiters of unfilled placeholders.
 PLACEHOLDERS = [
-    r"\{\{\{\s*(?:\d+|%(n)s)\s*\|?[^{}]{0,20}\}\}\}",
-    r"\{\{\s*(?:\d+|%(n)s)\s*\}\}",
-    r"\{%%\s*[^%%{}]{1,60}%%\}",
-    r"<%%=?\s*[^%%<>]{1,60}%%>",
+    r"\{\{\{\s*(?:\d+|%(n)s)[^{}|]{0,20}%(f)s\}\}\}",
+    r"\{\{\s*(?:\d+|%(n)s)\s*%(f)s\}\}",
+    r"\{%%[^%%{}]+%%\}",
+    r"<%%=?[^%%<>]+%%>",
     r"&lt;\s*%(n)s\s*&gt;",
     r"\[\[%%\s*%(n)s\s*%%\]\]",
-    r"[$#]\{\s*%(n)s\s*\}",
+    r"[$#]\{\s*%(n)s\s*%(f)s\}",
     r"%%\(%(n)s\)[sdr]",
-    r"%%[A-Z][A-Z_0-9]{1,39}%%",
-    r"@@\w{2,40}@@",
-    r"(?<![A-Za-z0-9_])__[A-Za-z][A-Za-z_0-9]{1,39}?__(?![A-Za-z0-9_])",
-    r"\$[A-Z][A-Z_0-9]{1,39}\$",
+    r"%%[A-Z][A-Z_0-9]*%%",
+    r"@@\w+@@",
+    r"(?<![A-Za-z0-9_])__[A-Za-z][A-Za-z_0-9]*?__(?![A-Za-z0-9_])",
+    r"\$[A-Z][A-Z_0-9]*\$",
     r"\{\d+(?:\.\w+)?(?:![rsa])?\}",
-    r"\{[A-Za-z_]\w{1,39}\}",
-    r"<(?!/|noscript|br\b|p\b|b\b|i\b|em\b|li\b|ul\b|ol\b|div\b|span\b|a\b)[a-z][a-z_]{1,20}(?: [a-z]{1,12}){0,2}>",
-    r"\[(?:insert|your|add|enter|put) [^\[\]]{1,40}\]",
-    r"\[[A-Z][A-Z_0-9 ]{1,30} HERE\]",
-    r"\b(?:TBD|FIXME|TODO)\s*\([^()]{1,40}\)",
-    r"\bTODO: ?\w{2,30}",
-    r"\bFIXME \w{2,30}",
-    r"\bXXX[-_]\w{2,30}",
+    r"\{[A-Za-z_]\w*\}",
+    r"<(?!/|noscript|br\b|p\b|b\b|i\b|em\b|li\b|ul\b|ol\b|div\b|span\b|a\b|q>|s>|u>|h[1-6]>)(?:[a-z][a-z_0-9]+(?: [a-z0-9]+){0,2}|[a-z])>",
+    r"\[(?:insert|your|add|enter|put) [^\[\]]+\]",
+    r"\[[A-Z][A-Z_0-9 ]* HERE\]",
+    r"\b(?:TBD|FIXME|TODO)\s*\([^()]+\)",
+    r"\bTODO: ?\w+",
+    r"\bFIXME \w+",
+    r"\bXXX[-_]\w+",
     r"\b(?:TBD|FIXME|TODO|XXX)\b",
     r"\[object Object\]",
     r"_{4,}",
@@ -153,7 +155,7 @@ SCRIPTS = [
 _STATUS = r"(?:\*{3}\s*)?(?:(?:HTTP|Status|Error|Fehler|Erreur|ERROR)[ :]*)?\b[1-5]\d\d\b"
 _TAIL = r"(?:[;,] ?(?:try again later|inténtelo más tarde|réessayez(?: plus tard| dans \d+ minutes)?|bitte später erneut versuchen))?\s*(?:[(（](?:(?:code|ref\.?|réf\.?|request|kennung|código|コード)[ :#.]*[0-9a-f]+|#?[0-9a-f]+)\.?[)）])?"
 
-_SPAN = re.compile("|".join(f"(?:{p})" for p in [x % {"n": _NAME} for x in PLACEHOLDERS] + DEFAULTS))
+_SPAN = re.compile("|".join(f"(?:{p})" for p in [x % {"n": _NAME, "f": _FILTERS} for x in PLACEHOLDERS] + DEFAULTS))
 _FILLER = re.compile("|".join(f"(?:{p.replace('%(l)s', _LOREM).replace('%(later)s', _LATER)})" for p in FILLERS), re.I)
 _MESSAGE = re.compile("|".join(f"(?:{p % {'s': _SUBJECT}})" if "%(s)s" in p else f"(?:{p})" for p in [*ERRORS, *SCRIPTS]), re.I)
 _PAGE_UNIT = re.compile(rf"^\W*(?:{_STATUS}\s*[-–:：.]?\s*)?(?:oops!?\s*)?(?:{_MESSAGE.pattern}){_TAIL}\W*$", re.I)

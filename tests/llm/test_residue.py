@@ -50,3 +50,28 @@ def test_odd_texts_end_soon(text):
     for unit in residue.units(text):
         residue.examine(unit)
     assert time.time() - began < 5
+
+
+STYLES = ["{{{%s}}}", "{{{%s|a default of more than twenty characters}}}", "{{%s}}", "{{ %s | lower | default('of any length, however long') }}", "{%% %s %%}", "<%%= %s %%>", "&lt;%s&gt;", "[[%%%s%%]]", "${%s}", "#{%s}", "${%s|default}", "%%(%s)s", "%%%S%%", "@@%s@@", "__%s__", "__%S__", "$%S$", "{%s}", "<%s>", "[insert %s]", "[%S HERE]", "TBD(%s)", "TODO: %s", "FIXME %s", "XXX-%s"]
+
+
+@pytest.mark.parametrize("name", ["n", "gloss2", "a_name_of_more_than_forty_characters_in_all"])
+@pytest.mark.parametrize("style", STYLES)
+def test_names_of_any_length_in_every_style(style, name):
+    slot = style.replace("%S", name.upper()).replace("%s", name).replace("%%", "%")
+    kind, spans = residue.examine(f"Speakers call it a {slot} in the hills.")
+    assert kind == "slot" and spans == [(19, 19 + len(slot))]
+
+
+@pytest.mark.parametrize("text", ["It rose by 5 % in a year and 6 % later.", "The price was $5 or $6.", "x <y and z> w, {a, i, u}, snake__case__name, a@b@c.", "<q>said</q> <h2>Uses</h2> <u>stress</u>"])
+def test_marks_of_another_purpose(text):
+    assert residue.examine(text)[0] == "plain"
+
+
+@pytest.mark.parametrize("text", ["{{{1|" * 9999, "{{{" + "1" * 50_000, "{{a|" * 9999, "{{" + "a " * 50_000, "__a" * 20_000, "@@a" * 20_000, "<a_" * 20_000, "%A" * 30_000, "{%" + "a" * 50_000, "[A " * 20_000, "&lt;a " * 9999, "${a|" * 9999])
+def test_unended_placeholders_end_soon(text):
+    import time
+
+    began = time.time()
+    residue.examine(text)
+    assert time.time() - began < 5
