@@ -11,13 +11,15 @@ stands in, so units made from one template are aligned through their literal wor
   been filled: residue there was left over.
 
 A unit's slot is judged by the median share of its triples. A unit without words beside the
-residue is residue itself; whole error pages also lend their other repeated lines: a line
-(digits masked) that comes with error messages in nearly all of its many documents is part of
-an error template.
+residue is residue itself. Error templates are induced from the short lines of all documents:
+a line (digits masked) that comes with error messages in nearly all of its many documents is
+part of an error template, whatever its wording, and a document that has it counts as one with
+an error message when other lines are judged, until no further line is found. The listed
+phrases are the first evidence; repetition alone is none, since plain sentences repeat as much.
 
 Counting triples takes all units of all documents: only triples of units with a span are
-counted, found by a fixed-size table of hash buckets, so that the shuffle has little to carry
-at any size. All statistics are exact.
+counted, found by a fixed-size table of hash buckets, so that their shuffle has little to carry
+at any size; lines are counted by digests of 16 bytes. All statistics are exact.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ FILLERS = [
     r"ダミーテキスト(?:です)?",
     r"（仮）[^。「」\n]{0,15}(?:を(?:書く|入力(?:する|して(?:ください)?)?|追加(?:する)?))?",
     r"[^。「」\s]{1,8}を(?:入力|記入|追加)してください",
-    r"ここに[^。」\n]{1,20}(?:書く|書いて(?:ください)?|入ります|入力(?:して(?:ください)?)?)",
+    r"ここに[^。」\n]{1,20}(?:書く|書いて(?:ください)?|入ります|入力(?:して(?:ください)?)?|を入れ(?:る|てください))",
     r"本文が入ります",
     r"\b(?:Mustertext|Blindtext)\b(?: für den Satzspiegel)?",
     r"\bHier steht später der Text",
@@ -134,7 +136,7 @@ ERRORS = [
     # es
     r"%(s)s no se pudo cargar", r"%(s)s ya no existe", r"%(s)s no responde", r"%(s)s no está (?:accesible|disponible por ahora|disponible)", r"página no encontrada", r"error interno del servidor", r"acceso denegado", r"su sesión ha caducado", r"esta página necesita scripts.{0,20}",
     # ja
-    r"[^。\n]{1,20}を読み込めませんでした", r"[^。\n]{0,20}(?:ページ|項目|録音|見出し語|ファイル|サーバー)[^。\n]{0,12}(?:見つかりません(?:でした)?|から応答がありません|は現在ご利用いただけません|は削除されました|は移動または削除されました|は存在しません|に接続できません(?:でした)?|にアクセスできません)",
+    r"[^。\n]{1,20}を読み込めませんでした", r"[^。\n]{0,20}(?:ページ|項目|録音|見出し語|ファイル|サーバー)[^。\n]{0,12}(?:見つかりません(?:でした)?|から応答がありません|は現在ご利用いただけません|は削除されました|は移動または削除されました|は削除されたか移動しました|は存在しません|に接続できません(?:でした)?|にアクセスできません)",
     r"[^。\n]{0,10}エラーが発生しました", r"アクセスが拒否されました", r"セッションの有効期限が切れました", r"[^。\n]{0,20}メンテナンス中です", r"ただいま混み合っています", r"(?:しばらくしてから|\d+分後に)お試しください",
 ]
 #: Notices that scripts are required.
@@ -280,6 +282,12 @@ def bucket(triple: str) -> int:
     return xxhash.xxh64_intdigest(triple) % BUCKETS
 
 
+def digest(line: str) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(line)
+
+
 def masked(unit: str) -> str:
     return re.sub(r"[0-9a-f]{6,}|\d+", "0", unit.casefold()).strip()
 
@@ -304,10 +312,9 @@ def suspects(documents: DataFrame) -> DataFrame:
     return spread(read).mapInArrow(_scan, "doc_id long, unit int, kind string, masked string, triples array<string>, pieces array<string>, quoted boolean")
 
 
-def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(kind, key, doc_id, n): in how many units each wanted triple stands, and each document that has a wanted line."""
-    keys = wanted.select(F.col("triple").alias("key")).union(lines.select("masked")).distinct()
-    marks = keys.mapInPandas(lambda it: (pd.DataFrame({"b": sorted({bucket(t) for t in pdf["key"]})}, dtype="int64") for pdf in it), "b long")
+def _counted(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, line, doc_id, n): in how many units each wanted triple stands, and each short line of each document by its digest."""
+    marks = wanted.mapInPandas(lambda it: (pd.DataFrame({"b": sorted({bucket(t) for t in pdf["triple"]})}, dtype="int64") for pdf in it), "b long")
     found = np.zeros(BUCKETS, dtype=bool)
     found[[r.b for r in marks.distinct().toLocalIterator()]] = True  # at most BUCKETS numbers, whatever the data
     flags = documents.sparkSession.sparkContext.broadcast(np.packbits(found).tobytes())
@@ -323,13 +330,13 @@ def _counted(documents: DataFrame, wanted: DataFrame, lines: DataFrame) -> DataF
                     spans = [] if clean or not _maybe(unit) else examine(unit)[1]
                     seen.update(t for t in pieces(literals(unit, spans)) if bits[bucket(t)])
                     if len(unit) <= LINE_LENGTH:
-                        short.add(masked(unit))
-                held += [("line", line, doc, 1) for line in short if bits[bucket(line)]]
-            held += [("triple", key, None, n) for key, n in seen.items()]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], ["kind", "key", "doc_id", "n"])
+                        short.add(digest(masked(unit)))
+                held += [(None, line, doc, None) for line in short]
+            held += [(key, None, None, n) for key, n in seen.items()]
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], ["key", "line", "doc_id", "n"])
 
-    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(rows, "kind string, key string, doc_id long, n long")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(rows, "key string, line binary, doc_id long, n long")
 
 
 def suspicious(text: str) -> bool:
@@ -341,10 +348,23 @@ def _maybe(unit: str) -> bool:
     return bool(_SPAN_HINT.search(unit)) or hinted(low := unit.lower(), _FILLER_WORDS) or hinted(low, _MESSAGE_WORDS)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = {masked(u) for text in batch.column(1).to_pylist() for u in units(text) if len(u) <= LINE_LENGTH}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["masked"])
+def _with_template(held: DataFrame, paged: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that have a line of an error template.
+
+    held: (line, doc_id), distinct; paged: (doc_id) of the documents with an error message. What
+    is found is evidence for further lines; each round but the last finds more documents.
+    """
+    often = held.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= PAGE_DOCUMENTS)
+    held = materialized(held.join(often, "line"))
+    flagged, n = paged, -1
+    while True:
+        seen = held.join(broadcast_if_small(flagged.withColumn("error", F.lit(1))), "doc_id", "left").groupBy("line").agg(F.first("documents").alias("documents"), F.count("error").alias("with_errors"))
+        lines = materialized(seen.where(F.col("with_errors") >= PAGE_SHARE * F.col("documents")).select("line"))
+        found = materialized(held.join(broadcast_if_small(lines), "line", "left_semi").select("doc_id").distinct())
+        flagged = materialized(paged.union(found).distinct())
+        if (now := flagged.count()) == n:
+            return found
+        n = now
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -358,21 +378,17 @@ def judged(documents: DataFrame) -> DataFrame:
     judging = slots.select("triple").where("triple is not null").distinct()
     held = found.where("kind = 'slot'").select(F.explode("pieces").alias("triple")).groupBy("triple").agg(F.count(F.lit(1)).alias("residue"))
     with_residue = materialized(held.join(judging, "triple", "left_semi"))
-    paged = found.where("kind = 'page'").select("doc_id").distinct()
-    near = documents.select("doc_id", "text").where("doc_id is not null and text is not null").join(broadcast_if_small(paged), "doc_id", "left_semi").mapInArrow(_lines, "masked string").distinct()
-    counted = materialized(_counted(documents, with_residue, near))
-    total = counted.where("kind = 'triple'").groupBy(F.col("key").alias("triple")).agg(F.sum("n").alias("n"))
+    counted = materialized(_counted(documents, with_residue))
+    total = counted.where("key is not null").groupBy(F.col("key").alias("triple")).agg(F.sum("n").alias("n"))
     share = with_residue.join(total, "triple").where(F.col("n") >= SEEN).select("triple", (F.col("residue") / F.col("n")).alias("share"))
     per_unit = slots.join(broadcast_if_small(share), "triple", "left").groupBy("doc_id", "unit").agg(F.percentile("share", 0.5).alias("median"), F.first("quoted").alias("quoted"))
     # Without any template to align with, quotation marks decide.
     left_over = per_unit.where(F.coalesce(F.col("median") < MENTION, ~F.col("quoted"))).select("doc_id", "unit", F.lit("slot").alias("reason"))
     alone = found.where(F.col("kind").isin("page", "whole")).select("doc_id", "unit", F.col("kind").alias("reason"))
     # Lines that come with error messages nearly wherever they stand: the rest of the error pages' template.
-    held = counted.where("kind = 'line'").select(F.col("key").alias("masked"), "doc_id").distinct()
-    flagged = paged.withColumn("error", F.lit(1))
-    lines = held.join(flagged, "doc_id", "left").groupBy("masked").agg(F.count(F.lit(1)).alias("documents"), F.count("error").alias("with_errors"))
-    lines = lines.where((F.col("documents") >= PAGE_DOCUMENTS) & (F.col("with_errors") >= PAGE_SHARE * F.col("documents"))).select("masked")
-    template = held.join(broadcast_if_small(lines), "masked", "left_semi").select("doc_id", F.lit(-1).alias("unit"), F.lit("template").alias("reason")).distinct()
+    paged = materialized(found.where("kind = 'page'").select("doc_id").distinct())
+    held = counted.where("line is not null").select("line", "doc_id").distinct()
+    template = _with_template(held, paged).select("doc_id", F.lit(-1).alias("unit"), F.lit("template").alias("reason"))
     return left_over.unionByName(alone).unionByName(template)
 
 

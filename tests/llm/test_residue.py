@@ -75,3 +75,18 @@ def test_unended_placeholders_end_soon(text):
     began = time.time()
     residue.examine(text)
     assert time.time() - began < 5
+
+
+def test_listed_wordings_alone():
+    assert residue.examine("お探しのページは削除されたか移動しました。")[0] == "page"
+    assert residue.examine("録音ファイルは削除されたか移動しました")[0] == "page"
+    assert residue.examine("ここに語源を入れる")[0] == "whole"
+
+
+def test_error_templates_of_unlisted_wording_are_induced(spark):
+    # Known messages vouch for the bar, the bar for a wording that no list has, and that one for a third line.
+    texts = [f"Page not found\nTorna al lessico {i}" for i in range(200)]
+    texts += [f"Torna al lessico {i}\nLa scheda dorme." + f"\nRichiesta {i}" * (i % 2) for i in range(20)] + ["La scheda dorme."] * 2 + ["Richiesta 12"]
+    plain = ["Speakers over 60 years of age drop the last vowel."] * 40 + ["Speakers over 60 years of age drop the last vowel.\nPage not found"]
+    df = spark.createDataFrame([(i, t, 0, "f", "k") for i, t in enumerate(texts + plain)], DOCUMENTS)
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == [*range(len(texts)), len(texts + plain) - 1]
