@@ -2,9 +2,11 @@
 
 A bottom-up tree automaton reads each child object: the state of a leaf is its JSON type, the
 state of a list the set of its items' states, the state of an object its keys with their
-states. The state an object ends in is its structural variant. Each variant goes to the typed
-table of its kind; all kinds share the supertype's keys (line, sense_pos, item_pos) and so
-keep the link to their parents.
+states. The state an object ends in is its structural variant. One object of each variant tells
+the fields and types of all; a kind's table has the columns of all its variants, and each
+variant can be routed to a table of its own columns. All kinds share the supertype's keys
+(line, sense_pos, item_pos) and so keep the link to their parents. Other nested lists (form_of,
+synonyms, ...) give child tables as well.
 
 One Arrow pass reads each line once: strict JSON and unbounded nesting are beyond the built-in
 parsers. Typing the subtype tables runs in the JVM again.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -22,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.strict_json import items, loads_object
+from lexloom.tables import materialized
 
 #: Kind of child: the list that holds it and the field that makes it one.
 KINDS = {"example": ("examples", "text"), "translation": ("translations", "word"), "sound": ("sounds", "audio")}
 
 SUPER = "source_line_number long, child_kind string, sense_pos int, item_pos int, variant string, payload string"
 
-#: The typed columns of each subtype table.
+#: Columns that each subtype table has even if no variant does; further ones come from the variants that occur.
 TYPED = {
     "sense": "glosses array<string>, tags array<string>, raw_tags array<string>, topics array<string>, categories array<string>, note string",
     "example": "text string, translation string, english string, roman string, ref string, bold_text_offsets array<array<long>>",
@@ -111,12 +115,110 @@ def variants(super_rows: DataFrame) -> DataFrame:
     return super_rows.groupBy("child_kind", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
-def subtype(super_rows: DataFrame, kind: str) -> DataFrame:
-    """The typed table of one kind: the supertype's keys, the variant and the kind's own columns.
+def _type(value: Any) -> Any:
+    """The type of a JSON value: a name, [type of items], {field: type}, or None if it can't tell (null, empty lists)."""
+    if isinstance(value, dict):
+        return {k: _type(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [reduce(_merged, map(_type, value), None)]
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean"
+    return "string" if isinstance(value, str) else "bigint" if isinstance(value, int) and abs(value) < 1 << 63 else "double"
 
-    A value of another type than the column's is null there; the payload keeps it.
+
+def _merged(a: Any, b: Any) -> Any:
+    """The type that holds values of both; JSON text (string) if none else does."""
+    if a is None or b is None or a == b:
+        return b if a is None else a
+    if isinstance(a, dict) and isinstance(b, dict):
+        return {k: _merged(a.get(k), b.get(k)) for k in sorted({*a, *b})}
+    if isinstance(a, list) and isinstance(b, list):
+        return [_merged(a[0], b[0])]
+    return "double" if {str(a), str(b)} == {"bigint", "double"} else "string"
+
+
+def _sql(kind: Any) -> str:
+    if isinstance(kind, list):
+        return f"array<{_sql(kind[0])}>"
+    if isinstance(kind, dict) and kind and len({k.casefold() for k in kind}) == len(kind):
+        return f"struct<{','.join(f'{_quoted(k)}:{_sql(t)}' for k, t in kind.items())}>"
+    return kind if isinstance(kind, str) else "string"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _columns(own: DataFrame, base: str) -> str:
+    """The schema of all variants' fields: the columns of ``base``, then the others by name; fields whose type differs are JSON text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted({(k, json.dumps(_type(v), sort_keys=True)) for text in batch.column(0).to_pylist() for k, v in json.loads(text).items()})
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["field", "type"])
+
+    # Numbers share a state: their variants may need a wider type than one object shows, so whole and other numbers are told apart.
+    exact = F.regexp_like("payload", F.lit(r":\s*-?\d+(\.\d|[eE])|\d{18}"))
+    one = own.groupBy("variant", exact).agg(F.first("payload").alias("payload")).select("payload")
+    types: dict[str, Any] = {}
+    for r in one.mapInArrow(rows, "field string, type string").distinct().collect():  # field names and types, not rows
+        types[r.field] = _merged(types.get(r.field), json.loads(r.type))
+    taken = {"source_line_number", "child_kind", "sense_pos", "item_pos", "path", "list_pos", "variant", "payload"} | {c.split()[0].casefold() for c in base.split(", ") if c}
+    more = []
+    for field, kind in sorted(types.items()):
+        if field.casefold() not in taken:
+            taken.add(field.casefold())
+            more.append(f"{_quoted(field)} {_sql(kind)}")
+    return ", ".join([*([base] if base else []), *more])
+
+
+def subtype(super_rows: DataFrame, kind: str, variant: str | None = None) -> DataFrame:
+    """The typed table of one kind, or of one of its variants: the supertype's keys, the variant, the columns of all variants in it, and the payload.
+
+    super_rows: of supertype() or nested(). A kind's table has the columns of TYPED in any case,
+    a variant's only its own. A value of another type than the column's is null there, and a
+    field named like a key or like another field but for case has no column; the payload keeps both.
     """
     own = super_rows.where(F.col("child_kind") == kind)
-    return own.select("source_line_number", "sense_pos", "item_pos", "variant", F.from_json("payload", TYPED[kind]).alias("x")).select(
-        "source_line_number", "sense_pos", "item_pos", "variant", "x.*"
-    )
+    own = materialized(own if variant is None else own.where(F.col("variant") == variant))
+    schema = _columns(own, TYPED.get(kind, "") if variant is None else "")
+    keys = [c for c in own.columns if c not in ("child_kind", "payload")]
+    if not schema:
+        return own.select(*keys, "payload")
+    return own.select(*keys, F.from_json("payload", schema).alias("x"), F.col("payload").alias("__payload")).select(*keys, "x.*", F.col("__payload").alias("payload"))
+
+
+def nested(super_rows: DataFrame) -> DataFrame:
+    """One row per object or list in any list inside a sense or child, at any depth: the child tables of form_of, synonyms and the like.
+
+    child_kind is the parent's kind and the fields down to the list (``sense.form_of``), path the
+    same with the positions in lists above, list_pos the position in the list itself. A list in a
+    list has its JSON text as payload.
+    """
+
+    def lists(value: Any, kind: str, path: str) -> Iterator[tuple[str, str, int, Any]]:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from lists(v, f"{kind}.{k}", f"{path}.{k}" if path else k)
+        elif isinstance(value, list):
+            for i, item in enumerate(value):
+                if isinstance(item, (dict, list)):
+                    yield kind, path, i, item
+                    yield from lists(item, kind if isinstance(item, dict) else f"{kind}[]", f"{path}[{i}]")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = TreeAutomaton()
+        names = ["source_line_number", "child_kind", "sense_pos", "item_pos", "path", "list_pos", "variant", "payload"]
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
+        for batch in batches:
+            out = [
+                (line, kind, sense_pos, item_pos, path, i, automaton.run(item), json.dumps(item, ensure_ascii=False))
+                for line, parent, sense_pos, item_pos, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for kind, path, i, item in lists(json.loads(text), parent, "")
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names)
+
+    read = super_rows.select("source_line_number", "child_kind", "sense_pos", "item_pos", "payload")
+    return read.mapInArrow(rows, "source_line_number long, child_kind string, sense_pos int, item_pos int, path string, list_pos int, variant string, payload string")

@@ -58,6 +58,15 @@ def p6_variants(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.variants(flatten.supertype(table(spark, sf, "jawiktionary_20260901")))
 
 
+def p6_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of all other nested lists, with their parents' keys."""
+    return flatten.nested(flatten.supertype(table(spark, sf, "jawiktionary_20260901")))
+
+
+def p6_form_of(spark: SparkSession, sf: str) -> DataFrame:
+    return flatten.subtype(p6_nested(spark, sf), "sense.form_of")
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -71,6 +80,8 @@ def queries() -> dict:
         "p6_translations": _p6("translation"),
         "p6_sounds": _p6("sound"),
         "p6_variants": p6_variants,
+        "p6_nested": p6_nested,
+        "p6_form_of": p6_form_of,
     }
 
 

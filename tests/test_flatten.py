@@ -1,6 +1,6 @@
 import json
 
-from lexloom.operators.flatten import TreeAutomaton, subtype, supertype, variants
+from lexloom.operators.flatten import TreeAutomaton, nested, subtype, supertype, variants
 
 LINES = "source_line_number long, source_json string, variant string, payload string"
 RECORD = {
@@ -41,3 +41,31 @@ def test_long_texts(spark):
     long = "あ" * 300_000
     made = supertype(rows(spark, [(1, json.dumps({"senses": [{"examples": [{"text": long}]}]}))]))
     assert subtype(made, "example").first().text == long
+
+
+def test_no_field_is_lost_and_nested_lists_have_tables(spark):
+    senses = [
+        {"glosses": ["g"], "form_of": [{"word": "a", "tags": ["t"]}, "odd", {"word": "b"}], "sense_index": 3, "odd`one": True},
+        {"glosses": "not a list", "more": [{"a": 0.5, "b": "x"}], "sense_index": 2.5, "payload": 1, "Glosses": 2, "mixed": "x"},
+        {"mixed": ["y"], "form_of": [{"word": "c", "extra": 1}], "more": [{"a": 1}], "deep": [{"parts": [{"n": 1}]}], "pairs": [[1, 2]]},
+    ]
+    made = supertype(rows(spark, [(1, json.dumps({"senses": senses}))]))
+    table = {r.sense_pos: r.asDict(True) for r in subtype(made, "sense").collect()}
+    assert [json.loads(table[i]["payload"]) for i in range(3)] == senses
+    assert [json.loads(x) if x[0] == "{" else x for x in table[0]["form_of"]] == senses[0]["form_of"]
+    assert table[0]["odd`one"] is True and [table[i]["sense_index"] for i in range(3)] == [3.0, 2.5, None]
+    assert table[1]["mixed"] == "x" and json.loads(table[2]["mixed"]) == ["y"]
+    assert [table[i]["more"] for i in (1, 2)] == [[{"a": 0.5, "b": "x"}], [{"a": 1.0, "b": None}]]
+    lists = nested(made)
+    assert {(r.child_kind, r.sense_pos, r.path, r.list_pos) for r in lists.collect()} == {
+        ("sense.form_of", 0, "form_of", 0), ("sense.form_of", 0, "form_of", 2), ("sense.form_of", 2, "form_of", 0), ("sense.more", 1, "more", 0), ("sense.more", 2, "more", 0), ("sense.deep", 2, "deep", 0), ("sense.deep.parts", 2, "deep[0].parts", 0), ("sense.pairs", 2, "pairs", 0),
+    }
+    assert [(r.list_pos, r.word, r.tags) for r in subtype(lists, "sense.form_of").orderBy("sense_pos", "list_pos").collect()] == [(0, "a", ["t"]), (2, "b", None), (0, "c", None)]
+
+
+def test_a_variant_is_routed_to_its_own_columns(spark):
+    made = supertype(rows(spark, [(1, json.dumps({"sounds": [{"audio": "a", "flag": True}, {"audio": "b", "note": "n"}]}))]))
+    flagged = made.where("item_pos = 0").first().variant
+    routed = subtype(made, "sound", flagged)
+    assert routed.columns == ["source_line_number", "sense_pos", "item_pos", "variant", "audio", "flag", "payload"]
+    assert [(r.audio, r.flag) for r in routed.collect()] == [("a", True)]
