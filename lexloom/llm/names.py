@@ -114,7 +114,7 @@ SMALL = {"of", "the", "for", "fur", "de", "des", "du", "der", "die", "das", "la"
 BODIES = {"archive", "archives", "association", "institute", "institut", "university", "universitat", "universite", "club", "verein", "societe", "society", "centro", "centre", "center", "laboratory", "laboratoire", "library", "foundation", "academy", "radio", "museum", "group", "company", "verlag", "bibliothek", "asociacion", "sociedad", "instituto", "volunteers", "project"}
 SHORT_BODIES = {"assoc": "association", "inst": "institute", "univ": "university", "libr": "library", "lib": "library", "soc": "societe", "ctro": "centro", "ver": "verein", "lab": "laboratory", "found": "foundation", "acad": "academy", "dict": "dictionary", "arch": "archive", "gmbh": "", "ev": "", "inc": "", "ltd": "", "llc": "", "plc": ""}
 
-#: Tokens shorter than this aren't corrected: too many of them are near each other.
+#: Tokens shorter than this are corrected only if two neighbouring letters are swapped or one is doubled: too many of them are near each other.
 CORRECTED = 5
 
 #: A body gives way to another one that is this many times as widely used.
@@ -257,23 +257,37 @@ def _left_out(token: Column, n: int) -> Column:
     return F.array_distinct(forms if n == 1 else F.concat(forms, F.flatten(F.transform(one(token), one))))
 
 
+def _slips(token: Column) -> Column:
+    """``token`` and its forms with two neighbouring letters in either order, and with doubled letters single."""
+    at = lambda i: F.array_join(F.array_sort(F.array(F.substring(token, i, F.lit(1)), F.substring(token, i + 1, F.lit(1)))), "")
+    swapped = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.lit("<"), at(i), F.lit(">"), F.substring(token, i + 2, F.length(token))))
+    single = F.concat(F.lit("="), F.regexp_replace(token, r"(.)\1", "$1"))
+    return F.array_distinct(F.concat(F.array(token, single), F.when(F.length(token) > 3, swapped).otherwise(F.array().cast("array<string>"))))
+
+
 def corrections(tokens: DataFrame, known: set[str] = frozenset(), left_out: int = 1, least: int = CORRECTED) -> DataFrame:
     """(group, token, hub, support): the best supported token of the group that shares a form with ``left_out`` characters left out.
 
-    tokens: (group, token, support), distinct. Two steps, so that a misspelling of a misspelling
-    arrives too. Tokens of ``known`` (a fixed vocabulary) stay as they are and win over all
-    others; those shorter than ``least`` stay alone.
+    tokens: (group, token, support), distinct. Hubs are followed until nothing changes, so that
+    direct neighbours don't part. Tokens of ``known`` (a fixed vocabulary) stay as they are and
+    win over all others; of those shorter than ``least`` only slips of three letters and more are corrected.
     """
     token = F.col("token")
     is_known = token.isin(sorted(known)) if known else F.lit(False)
     tokens = tokens.select("group", "token", (F.col("support") + F.when(is_known, KNOWN).otherwise(0)).alias("support"))
-    forms = F.when(F.length(token) >= least, _left_out(token, left_out)).otherwise(F.array(token))
+    forms = F.when(F.length(token) >= least, _left_out(token, left_out)).when((F.length(token) > 2) & F.lit(least == CORRECTED), _slips(token)).otherwise(F.array(token))
     spread = materialized(tokens.select("group", "token", "support", F.explode(forms).alias("form")))
     best = spread.groupBy("group", "form").agg(F.max(F.struct("support", "token")).alias("best"))
     once = spread.join(best, ["group", "form"]).groupBy("group", "token").agg(F.max("best").alias("best"), F.max("support").alias("support"))
     step = materialized(once.select("group", "token", F.when(is_known, token).otherwise(F.col("best.token")).alias("hub"), "support"))
-    again = step.select("group", F.col("token").alias("hub"), F.col("hub").alias("hub2"))
-    return step.join(again, ["group", "hub"], "left").select("group", "token", F.coalesce("hub2", "hub").alias("hub"), "support")
+    # Each hub has more support than its token (or as much and a later name), so this ends; the way is halved each time.
+    while True:
+        again = step.select("group", F.col("token").alias("hub"), F.col("hub").alias("hub2"))
+        further = step.join(again, ["group", "hub"], "left").select("group", "token", F.coalesce("hub2", "hub").alias("hub"), "support", (F.col("hub2") != F.col("hub")).alias("moved"))
+        further = materialized(further)
+        step = further.drop("moved")
+        if further.where("moved").isEmpty():
+            return step
 
 
 def entities(names: DataFrame, column: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from lexloom.llm.names import entities, links, readings
+from lexloom.llm.names import GIVEN, corrections, entities, links, readings
 
 AUTHORS = "author_ordinal long, author_text string, author_urls_json string, entity string, kind string"
 RECORDINGS = "recording_id long, artist string, author_ordinal long, surname string"
@@ -41,3 +41,13 @@ def test_links(spark):
 @pytest.mark.parametrize("odd", ["!!!", "x", ", ,", "()", "((", "a" * 50_000, "a.b", "李", "<<<", "& &amp;", "O'Neil", "1 2 3", "von", "Dr."])
 def test_odd_names_are_read(odd):
     assert isinstance(readings(odd), list)
+
+
+def test_hubs_are_followed_to_the_end_and_short_slips_corrected(spark):
+    # Each is one letter off the next; direct neighbours must not part.
+    chain = ["abcdefgh", "abcdefgx", "abcdefyx", "abcdzfyx", "abwdzfyx"]
+    rows = [("", t, i + 1) for i, t in enumerate(chain)] + [("", t, 1) for t in ("mkie", "tedd", "hasn", "dana", "lee", "le", "wluf", "jan")] + [("", t, 3) for t in ("mike", "ted", "hans", "wulf")]
+    found = {r.token: r.hub for r in corrections(spark.createDataFrame(rows, "group string, token string, support long"), GIVEN).collect()}
+    assert {found[t] for t in chain} == {chain[-1]}
+    assert [found[t] for t in ("mkie", "tedd", "hasn", "wluf")] == ["mike", "ted", "hans", "wulf"]
+    assert all(found[t] == t for t in ("dana", "lee", "le", "jan", "mike", "ted", "hans"))
