@@ -4,9 +4,9 @@ Every spelling is rewritten to all its canonical readings: without markup, title
 notes, in either token order, with nicknames, initials, particles and legal forms resolved, organisations by
 the initials of their body and their place. A misspelt token joins its best supported
 neighbour through forms with one character left out (exploded, then an equi-join and one aggregate per
-form, so no pairs are made). Among the readings of a spelling the one with the rarest surname
-and the most widely shared given name wins: a token that many names share is a given name, one that
-few share is a surname. An initial or an ambiguous nickname takes the full name that its
+form, so no pairs are made). Among the readings of a spelling the one with the most widely
+shared given name wins, then the one with the better supported surname; both supports are capped, and
+the other readings aren't joined (the method's scoring by rarity isn't done, see the README). An initial or an ambiguous nickname takes the full name that its
 family has, if it has exactly one that fits; rare readings identify, shared ones don't.
 """
 
