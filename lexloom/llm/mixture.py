@@ -2,16 +2,24 @@
 
 Documents are counted by source and exact token length. A source that is larger than its
 budget gives whole passes first; for the rest of the budget each length gives its proportional
-number of documents, and where that isn't enough one more in seeded order while they
-fit, and a bounded-knapsack dynamic programme over the counts that are left fills the last few
-thousand tokens, to the token where some sum allows it. Which documents of a length are taken
-follows a seeded hash: their ranks are found in parallel, hot lengths in salted parts.
+number of documents, and a bounded-knapsack dynamic programme over *all* counts, those taken
+(which may go back) and those left (which may come in), settles the difference to the largest
+sum that any choice of documents reaches. Which documents of a length are taken follows a
+seeded hash: their ranks are found in parallel, hot lengths in salted parts.
+
+The programme is exact. It starts on the sums near the proportional choice and stops when it
+meets the budget (or the last multiple of the lengths' common divisor below it), which nothing
+can beat; else it widens its window until that holds all sums, or all that an optimal choice
+can need: any two choices differ by exchanges whose running sum stays within the longest
+length W, and those of them that sum to zero can be left out, so at most 2 W documents change
+and no order of the lengths leads further than W * W away.
 
 The driver holds one number per source and distinct length, never documents.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame, Window
@@ -21,12 +29,6 @@ from lexloom.llm.ranks import ranked
 from lexloom.llm.tokens import VOCABULARY, token_count
 from lexloom.tables import broadcast_if_small, materialized, spread
 
-#: Tokens that the dynamic programme fills at most.
-EXACT = 4096
-#: Lengths that make a budget come out exactly.
-SHORT = 64
-
-
 def subset(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many of each length to take, at most ``counts``, so that the sum is the largest one up to ``budget``."""
     items, sums, trace = [], 1, []
@@ -49,44 +51,57 @@ def subset(counts: dict[int, int], budget: int) -> dict[int, int]:
     return chosen
 
 
+def settle(counts: dict[int, int], taken: dict[int, int], budget: int, seed: int = 0) -> dict[int, int]:
+    """``taken`` with documents put back and taken in, so that its sum is the largest one up to ``budget`` that ``counts`` allow."""
+    unit = math.gcd(*counts)
+    now = sum(length * n for length, n in taken.items()) // unit
+    goal = budget // unit - now
+    most = sum(length * n for length, n in counts.items()) // unit - now
+    longest = max(counts) // unit
+    order = sorted(counts)
+    random.Random(seed).shuffle(order)
+    reach = 2 * longest
+    while True:
+        low, high = max(-now, min(0, goal) - reach), min(most, max(0, goal) + reach)
+        full = (1 << (high - low + 1)) - 1
+        sums, trace = 1 << -low, []
+        for length in order:
+            for sign, left in ((1, counts[length] - taken.get(length, 0)), (-1, taken.get(length, 0))):
+                step, n = length // unit, 1
+                left = min(left, (high - low) // step)
+                while left > 0 and not (low <= goal <= high and sums >> (goal - low) & 1):
+                    n = min(n, left)
+                    trace.append((length, sign * n, sums))
+                    sums |= (sums << step * n) & full if sign > 0 else sums >> step * n
+                    left -= n
+                    n *= 2
+        best = (sums & ((1 << (min(goal, high) - low + 1)) - 1)).bit_length() - 1
+        if best + low == goal or (low, high) == (-now, most) or reach >= longest * longest:
+            break
+        reach *= 4
+    chosen = dict(taken)
+    for length, n, before in reversed(trace):
+        if not before >> best & 1:
+            chosen[length] = chosen.get(length, 0) + n
+            best -= n * length // unit
+    return {length: n for length, n in chosen.items() if n}
+
+
 def part_of(counts: dict[int, int], budget: int, seed: int) -> dict[int, int]:
-    """How many of each length to take for ``budget`` tokens, less than all of them."""
+    """How many of each length to take for ``budget`` tokens: the largest sum up to it, near the lengths' own distribution."""
+    counts = {length: n for length, n in counts.items() if length > 0 and n > 0}
     total = sum(length * n for length, n in counts.items())
     if budget <= 0 or total <= 0:
         return {}
+    if budget >= total:
+        return counts
     # Every total/budget-th document along the lengths, from a seeded start: the lengths keep their distribution.
     taken, seen, start = {}, 0, random.Random(seed).randrange(total)
-    for length in sorted(x for x in counts if x > 0):
+    for length in sorted(counts):
         before = (seen * budget + start) // total
         seen += counts[length]
         taken[length] = (seen * budget + start) // total - before
-    left = budget - sum(length * n for length, n in taken.items())
-    while left < 0:
-        x = min((x for x in taken if taken[x] and x >= -left), default=max(x for x in taken if taken[x]))
-        taken[x] -= 1
-        left += x
-    order = sorted(taken)
-    random.Random(seed).shuffle(order)
-    order.sort(key=lambda length: length <= SHORT)  # short texts stay for the last tokens
-    moved = True
-    while left > EXACT and moved:
-        moved = False
-        for length in order:
-            if taken[length] < counts[length] and length <= left - EXACT // 2:
-                taken[length] += 1
-                left -= length
-                moved = True
-    while left > EXACT and any(taken[x] < counts[x] and x <= left for x in order):  # only lengths beyond the reserve are left
-        x = min(x for x in order if taken[x] < counts[x] and x <= left)
-        taken[x] += 1
-        left -= x
-    for x in sorted(order):  # short texts go back to be chosen anew with what is left
-        while x <= SHORT and taken[x] and left + x <= 4 * SHORT:
-            taken[x] -= 1
-            left += x
-    for length, n in subset({x: counts[x] - taken[x] for x in order if x <= left and counts[x] > taken[x]}, min(left, EXACT)).items():
-        taken[length] += n
-    return {length: n for length, n in taken.items() if n}
+    return settle(counts, taken, budget, seed)
 
 
 def budgets(totals: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: int | None) -> dict[str, int]:

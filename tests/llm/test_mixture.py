@@ -29,6 +29,23 @@ def test_part_is_exact_where_it_can_be(seed):
         assert sum(k * n for k, n in chosen.items()) == budget and all(0 < n <= counts[k] for k, n in chosen.items())
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_part_is_the_largest_sum_of_all_counts_without_short_texts(seed):
+    rng = random.Random(seed)
+    counts = {rng.randrange(65, 6000): rng.randrange(1, 9) for _ in range(6)}
+    budget = rng.randrange(1, sum(k * n for k, n in counts.items()))
+    size = lambda chosen: sum(k * n for k, n in chosen.items())
+    chosen = mixture.part_of(counts, budget, seed)
+    assert size(chosen) == size(mixture.subset(counts, budget)) and all(0 < n <= counts[k] for k, n in chosen.items())
+
+
+def test_part_is_the_largest_sum_where_lengths_share_a_divisor():
+    assert mixture.part_of({3000: 2, 5000: 2}, 11000, 7) == {3000: 2, 5000: 1}
+    assert mixture.part_of({7000: 4, 9000: 4}, 34000, 1) == {7000: 1, 9000: 3}
+    for counts, budget, best in (({6000: 10**5, 5998: 10**5, 4002: 10**5}, 123_456_789, 123_456_788), ({5987: 10**6, 6011: 10**6}, 123_456_789, 123_456_789)):
+        assert sum(k * n for k, n in mixture.part_of(counts, budget, 1).items()) == best
+
+
 def test_shares_caps_and_dirty_rows(spark):
     rng = random.Random(2)
     text = lambda: " ".join(["lantern"] * rng.randrange(1, 60))
