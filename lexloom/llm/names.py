@@ -1,13 +1,16 @@
 """Variant spellings of names typed by people (problem 5).
 
-Every spelling is rewritten to all its canonical readings: without markup, titles and role
-notes, in either token order, with nicknames, initials, particles and legal forms resolved, organisations by
-the initials of their body and their place. A misspelt token joins its best supported
-neighbour through forms with one character left out (exploded, then an equi-join and one aggregate per
-form, so no pairs are made). Among the readings of a spelling the one with the most widely
-shared given name wins, then the one with the better supported surname; both supports are capped, and
-the other readings aren't joined (the method's scoring by rarity isn't done, see the README). An initial or an ambiguous nickname takes the full name that its
-family has, if it has exactly one that fits; rare readings identify, shared ones don't.
+1. Every distinct spelling is rewritten to all its readings: without markup, titles and role
+   notes, in either token order, with nicknames, initials, particles, abbreviations, legal forms
+   and acronyms resolved.
+2. Readings compete by rewriting rarity: a token that many others stand beside is a given name,
+   a rare one a surname or place; spellings that can be read in one way only (a comma, an
+   initial, brackets) count for more. Nothing is capped.
+3. Misspelt tokens meet through their forms with characters left out (exploded, an equi-join and
+   one aggregate per form, so no pairs are made). Likeness alone links nothing, see ``corrections``.
+4. Spellings join on (surname, full given name), (surname, initial) and (place, body): an initial,
+   an ambiguous nickname or an acronym links if exactly one entity has that rewriting (rarity 1);
+   a rewriting that several share identifies none of them.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.tables import broadcast_if_small, materialized
+from lexloom.tables import materialized
 
 #: Short forms of given names (public knowledge), by the full name without accents.
 NICKNAMES = {
@@ -116,14 +119,10 @@ SHORT_BODIES = {"assoc": "association", "inst": "institute", "univ": "university
 
 #: Tokens shorter than this are corrected only if two neighbouring letters are swapped or one is doubled: too many of them are near each other.
 CORRECTED = 5
+#: Two misspellings with equally little support link only if both have as many letters: shorter words are near each other by chance.
+LONG = 8
 
-#: A body gives way to another one that is this many times as widely used.
-USUAL = 20
-
-#: Added to the support of a known token.
-KNOWN = 1 << 40
-
-READING = "text string, shown string, kind string, given string, initial string, surname string, place string, bodies array<string>, bonus int"
+READING = "text string, shown string, kind string, given string, initial string, surname string, place string, body string, initials array<string>, bonus int, sure boolean"
 
 
 def fold(text: str) -> str:
@@ -139,6 +138,12 @@ def particle(token: str) -> bool:
     return token in PARTICLES or 2 <= len(token) <= 4 and any(without_one(token) & without_one(p) for p in ("von", "van", "de") if abs(len(p) - len(token)) < 2)
 
 
+def unprefixed(surname: str) -> str:
+    """Without a particle of three letters written together with it; a shorter one is too often just how a name begins."""
+    found = next((p for p in sorted(PARTICLES) if len(p) == 3 and surname.startswith(p) and len(surname) - len(p) >= 4), "")
+    return surname[len(found) :]
+
+
 def single_vowels(token: str) -> str:
     """Both ways to write an umlaut become one; given names that are known stay."""
     return token if token in GIVEN else token.replace("ae", "a").replace("oe", "o").replace("ue", "u")
@@ -153,40 +158,50 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W\d_]+", text)
 
 
-def _organisation(shown: str) -> Iterator[tuple[str, list[str]]]:
-    """(place, initials of the body) for each reading of an organisation's name."""
+def _small(word: str) -> bool:
+    """A word that names of bodies may leave out, also with one slip."""
+    plain = fold(word)
+    if plain in SMALL or plain in BODIES or plain in SHORT_BODIES:
+        return plain in SMALL
+    return word.islower() and 2 <= len(plain) <= 4 and any(len(x) == 3 and abs(len(x) - len(plain)) < 2 and without_one(plain) & without_one(x) for x in SMALL)
+
+
+def _body(tokens: list[str]) -> tuple[str | None, list[str]]:
+    """(canonical words, initials) of a body: small words left out, abbreviations written out; an acronym has no words and initials as it is and by its capitals."""
+    own = [t for t in tokens if fold(t) not in ("the", "of")]
+    if len(own) == 1 and 2 <= len(own[0]) <= 5 and fold(own[0]) not in BODIES | set(SHORT_BODIES):
+        capitals = "".join(c for c in own[0] if c.isupper())
+        return None, sorted({own[0].lower(), capitals.lower()} - {""})
+    # A single letter among words abbreviates a small word.
+    kept = [fold(t) for t in own if not _small(t) and (len(t) > 1 or len(own) < 3)]
+    full = [SHORT_BODIES.get(t) if t in SHORT_BODIES else next((SHORT_BODIES[x] for x in SHORT_BODIES if len(x) > 3 and t not in BODIES and len(t) < 7 and without_one(t) & without_one(x)), t) for t in kept]
+    return "".join(full) or None, ["".join(t[0] for t in kept)] if kept else []
+
+
+def _organisation(shown: str) -> Iterator[tuple[str, str | None, list[str], bool]]:
+    """(place, words of the body, its initials, whether this is the only way) for each reading of an organisation's name."""
     brackets = re.findall(r"\(([^)]*)\)", shown)
     main = re.sub(r"\([^)]*\)", " ", shown).strip()
     for inner in brackets:
         found = words(inner)
         if len(found) == 1 and not (2 <= len(found[0]) <= 5 and found[0].upper() == found[0] and len(words(main)) > 2 or len(found[0]) <= 4):
-            yield fold(found[0]), _initials(words(main))
+            yield fold(found[0]), *_body(words(main)), True
             return
     tokens = words(main)
     if len(tokens) < 2:
         return
     if "," in main:
         head, _, tail = main.partition(",")
-        for place, body in ((head, tail), (tail, head)):
-            if len(words(place)) == 1 and words(body):
-                yield fold(words(place)[0]), _initials(words(body))
+        both = [(place, body) for place, body in ((head, tail), (tail, head)) if len(words(place)) == 1 and words(body)]
+        for place, body in both:
+            yield fold(words(place)[0]), *_body(words(body)), len(both) == 1
         return
-    yield fold(tokens[-1]), _initials(tokens[:-1])
-    yield fold(tokens[0]), _initials(tokens[1:])
-
-
-def _initials(body: list[str]) -> list[str]:
-    """Initials without small words; an acronym as it is and by its capitals."""
-    tokens = [t for t in body if fold(t) not in ("the", "of")]
-    if len(tokens) == 1 and 2 <= len(tokens[0]) <= 5:
-        capitals = "".join(c for c in tokens[0] if c.isupper())
-        return sorted({tokens[0].lower(), capitals.lower()} - {""})
-    # A single letter among words abbreviates a small word.
-    return ["".join(t[0] for t in map(fold, tokens) if t not in SMALL and (len(t) > 1 or len(tokens) < 3))]
+    yield fold(tokens[-1]), *_body(tokens[:-1]), False
+    yield fold(tokens[0]), *_body(tokens[1:]), False
 
 
 def readings(text: str | None) -> list[tuple]:
-    """(kind, given, initial, surname, place, bodies, bonus) for each way to read a name; none if it names nobody."""
+    """(kind, given, initial, surname, place, body, initials, bonus, sure) for each way to read a name; none if it names nobody."""
     shown = visible(text)
     if " ".join(words(fold(shown))) in NOBODY or not words(shown):
         return []
@@ -194,25 +209,25 @@ def readings(text: str | None) -> list[tuple]:
     shown = re.sub(r"\((?:%s)\)|,\s*(?:%s)\s*$" % ("|".join(ROLES), "|".join(ROLES)), " ", shown, flags=re.I).strip()
     plain = [fold(t) for t in words(shown)]
     acronym = [t for t in words(shown) if 2 <= len(t) <= 5 and sum(c.isupper() for c in t) >= 2 and not particle(fold(t))]
-    body = any(t in BODIES or t in SHORT_BODIES and len(plain) > 2 for t in plain)
-    if body or acronym and (shown.upper() != shown or len(plain) == 2 and fold(acronym[0]) not in GIVEN and len(acronym[0]) > 1 and not re.search("[aeiouy]", fold(acronym[0]))):
-        return [("organisation", None, None, None, place, bodies, 0) for place, bodies in _organisation(shown)]
+    named = any(t in BODIES or t in SHORT_BODIES and len(plain) > 2 for t in plain)
+    if named or acronym and (shown.upper() != shown or len(plain) == 2 and fold(acronym[0]) not in GIVEN and len(acronym[0]) > 1 and not re.search("[aeiouy]", fold(acronym[0]))):
+        return [("organisation", None, None, None, place, body, initials, 0, sure) for place, body, initials, sure in _organisation(shown)]
     if len(plain) >= 4 and not any(t in GIVEN or len(t) == 1 for t in plain):
-        return [("organisation", None, None, None, place, bodies, 0) for place, bodies in _organisation(shown)]
+        return [("organisation", None, None, None, place, body, initials, 0, sure) for place, body, initials, sure in _organisation(shown)]
 
     # An acronym in a text of capitals only can't be told from a name yet.
     shouted = len(plain) == 2 and shown.upper() == shown and any(2 <= len(t) <= 5 and t not in GIVEN for t in plain)
-    maybe = [("maybe", None, None, None, place, bodies, 0) for place, bodies in _organisation(shown)] if shouted else []
+    maybe = [("maybe", None, None, None, place, body, initials, 0, False) for place, body, initials, _ in _organisation(shown)] if shouted else []
 
-    def person(given: str, rest: list[str], bonus: int) -> list[tuple]:
+    def person(given: str, rest: list[str], bonus: int, sure: bool | None = False) -> list[tuple]:
         given = single_vowels(given) if single_vowels(given) in GIVEN else given
         rest = [single_vowels(t) for t in rest]
-        surname = "".join(t for t in rest if not particle(t)) or "".join(rest)
+        surname = unprefixed("".join(t for t in rest if not particle(t)) or "".join(rest))
         if not surname or not given:
             return []
         if len(given) == 1:
-            return [("person", None, given, surname, None, None, bonus)]
-        return [("person", given, given[0], surname, None, None, bonus + (1000 if given in GIVEN else 0) - (1000 if surname in GIVEN else 0))]
+            return [("person", None, given, surname, None, None, None, bonus, sure is not None)]
+        return [("person", given, given[0], surname, None, None, None, bonus + (1000 if given in GIVEN else 0) - (1000 if surname in GIVEN else 0), bool(sure))]
 
     out: list[tuple] = []
     handle = re.fullmatch(r"([^\W\d_]+)[._]([^\W\d_]+)", shown.strip())
@@ -220,21 +235,22 @@ def readings(text: str | None) -> list[tuple]:
         first, last = fold(handle[1]), fold(handle[2])
         givens = {first} | ({first[:-1]} if first not in GIVEN and len(first) > 2 else set())
         lasts = {last} | {last[len(p) :] for p in PARTICLES if last.startswith(p) and len(last) - len(p) >= 4}
-        return [x for g in givens for s in lasts for x in person(g, [s], 0)]
+        # None: an initial beside a surname that may begin with a particle isn't the only way to read it.
+        return [x for g in givens for s in lasts for x in person(g, [s], 5 * (s == last), None)]
     if "," in shown:
         head, _, tail = shown.partition(",")
         first = [t for t in map(fold, words(tail)) if t not in TITLES]
         last = [t for t in map(fold, words(head)) if t not in TITLES and len(t) > 1]
         if first and last:
             long = [t for t in first if len(t) > 1]
-            return maybe + person(long[0] if long else first[0], last + [t for t in first if t in PARTICLES], 500)
+            return maybe + person(long[0] if long else first[0], last + [t for t in first if t in PARTICLES], 500, True)
     tokens = [t for t in plain if t not in TITLES and t not in ROLES]
     core = [t for t in tokens if t not in PARTICLES]
     long = [t for t in core if len(t) > 1]
     if len(long) == 1 and len(core) > 1:
         return person(next(t for t in core if len(t) == 1), long, 0)
     if len(long) == 1:
-        return [("single", None, None, long[0], None, None, 0)]
+        return [("single", None, None, long[0], None, None, None, 0, False)]
     if len(long) >= 2:
         out += maybe
         out += person(long[0], long[1:], 1)
@@ -243,7 +259,7 @@ def readings(text: str | None) -> list[tuple]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.bool_())
     names = [x.split()[0] for x in READING.split(", ")]
     for batch in batches:
         out = [(text, fold(visible(text)), *reading) for text in batch.column(0).to_pylist() for reading in readings(text)]
@@ -265,92 +281,144 @@ def _slips(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token, single), F.when(F.length(token) > 3, swapped).otherwise(F.array().cast("array<string>"))))
 
 
-def corrections(tokens: DataFrame, known: set[str] = frozenset(), left_out: int = 1, least: int = CORRECTED) -> DataFrame:
-    """(group, token, hub, support): the best supported token of the group that shares a form with ``left_out`` characters left out.
+def corrections(tokens: DataFrame, known: set[str] = frozenset(), left_out: int = 1, least: int = CORRECTED, ties: bool = True) -> DataFrame:
+    """(group, token, hub, support): the token of the group that each token is a misspelling of, or itself.
 
-    tokens: (group, token, support), distinct. Hubs are followed until nothing changes, so that
-    direct neighbours don't part. Tokens of ``known`` (a fixed vocabulary) stay as they are and
-    win over all others; of those shorter than ``least`` only slips of three letters and more are corrected.
+    tokens: (group, token, support, others), distinct; support counts distinct spellings, others
+    the groups (persons, bodies) a token stands with. Two tokens meet if they share a form with up
+    to ``left_out`` characters left out, and the less supported one gives way only with evidence:
+
+    * A token of ``known`` (a fixed vocabulary) stays as it is and takes others in.
+    * A token that two or more others stand with is a name of its own, unless the hub has over ten
+      times as many; so are Hernandez and Fernandez, Marta and Maria.
+    * The hub must have at least twice the support, thrice for tokens under LONG letters and ten
+      times for a token with three spellings or more, or without ``ties`` (given names).
+    * With ``ties``, two tokens of at most two spellings each also link if both have LONG letters
+      and begin alike: people seldom mistype the first letter.
+
+    Hubs are followed until nothing changes. Of tokens shorter than ``least`` only slips of three letters and more are corrected.
     """
-    token = F.col("token")
+    token, hub = F.col("token"), F.col("best.token")
     is_known = token.isin(sorted(known)) if known else F.lit(False)
-    tokens = tokens.select("group", "token", (F.col("support") + F.when(is_known, KNOWN).otherwise(0)).alias("support"))
+    tokens = tokens.select("group", "token", "support", "others", is_known.alias("known"))
     forms = F.when(F.length(token) >= least, _left_out(token, left_out)).when((F.length(token) > 2) & F.lit(least == CORRECTED), _slips(token)).otherwise(F.array(token))
-    spread = materialized(tokens.select("group", "token", "support", F.explode(forms).alias("form")))
-    best = spread.groupBy("group", "form").agg(F.max(F.struct("support", "token")).alias("best"))
-    once = spread.join(best, ["group", "form"]).groupBy("group", "token").agg(F.max("best").alias("best"), F.max("support").alias("support"))
-    step = materialized(once.select("group", "token", F.when(is_known, token).otherwise(F.col("best.token")).alias("hub"), "support"))
-    # Each hub has more support than its token (or as much and a later name), so this ends; the way is halved each time.
+    # A form is shared by few distinct tokens (they differ in one or two letters), so a window holds them.
+    best = F.max(F.struct("known", "support", "others", "token")).over(Window.partitionBy("group", "form"))
+    each = tokens.withColumn("form", F.explode(forms)).withColumn("best", best)
+    both_long = (F.length(token) >= LONG) & (F.length(hub) >= LONG)
+    own = (F.col("others") >= 2) & (F.col("others") * 10 > F.col("best.others"))
+    need = F.when((F.col("support") > 2) | F.lit(not ties), 10).when(both_long, 2).otherwise(3)
+    first = lambda c, at: F.substring(c, at, 3)
+    pair = lambda c: F.array_sort(F.split(F.substring(c, 1, 2), ""))
+    begin_alike = (F.substring(token, 1, 1) == F.substring(hub, 1, 1)) | (pair(token) == pair(hub)) | (first(token, 2) == first(hub, 1)) | (first(token, 1) == first(hub, 2))
+    tied = F.lit(ties) & both_long & begin_alike & (F.col("support") <= 2)
+    gives_way = ~F.col("known") & (hub != token) & ~own & (F.col("best.known") | (F.col("best.support") >= need * F.col("support")) | tied)
+    met = each.groupBy("group", "token").agg(F.max(F.when(gives_way, F.col("best"))).alias("best"), F.max("support").alias("support"))
+    step = materialized(met.select("group", "token", F.coalesce(hub, token).alias("hub"), "support"))
+    # A hub is known, or comes later by (support, others, name) than its token, so this ends; the way is halved each time.
     while True:
-        again = step.select("group", F.col("token").alias("hub"), F.col("hub").alias("hub2"))
-        further = step.join(again, ["group", "hub"], "left").select("group", "token", F.coalesce("hub2", "hub").alias("hub"), "support", (F.col("hub2") != F.col("hub")).alias("moved"))
-        further = materialized(further)
-        step = further.drop("moved")
-        if further.where("moved").isEmpty():
+        again = step.where("token <> hub").select("group", F.col("token").alias("hub"), F.col("hub").alias("hub2"))
+        if step.join(again, ["group", "hub"], "left_semi").isEmpty():
             return step
+        step = materialized(step.join(again, ["group", "hub"], "left").select("group", "token", F.coalesce("hub2", "hub").alias("hub"), "support"))
 
 
-def entities(names: DataFrame, column: str = "text") -> DataFrame:
-    """(text, entity): the entity each distinct spelling names.
+def _supported(rows: DataFrame, group: str, token: str, primary: Column) -> DataFrame:
+    """(group, token, support, others): distinct spellings per group and token, and with how many groups the token stands (of those that are ``primary``)."""
+    per = rows.where(F.col(token).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("group"), F.col(token).alias("token"))
+    per = per.agg(F.count_distinct("shown").alias("support"), F.max(primary.cast("int")).alias("primary"))
+    return per.select("group", "token", "support", F.sum("primary").over(Window.partitionBy("token")).alias("others"))
 
-    Null, empty and anonymous names have no entity; a spelling that can't be read as a person or
-    organisation is its own. Repeated rows count once. The text alone decides, links don't.
-    """
-    texts = names.select(F.col(column).alias("text")).where("text is not null").distinct()
-    read = materialized(texts.mapInArrow(_read, READING))
 
-    def supported(kind: str, field: str, least: int) -> DataFrame:
-        own = read.where(F.col("kind").isin(*kind.split())).select("shown", F.col(field).alias("token")).where(F.length("token") >= least).distinct()
-        return own.groupBy("token").agg(F.count(F.lit(1)).alias("support")).withColumn("group", F.lit(""))
+def _ln(c: str) -> Column:
+    return F.log1p(F.coalesce(F.col(c), F.lit(0)))
+
 
-    given = broadcast_if_small(corrections(supported("person", "given", 2), GIVEN).select(F.col("token").alias("given"), F.col("hub").alias("g_hub")))
-    counts = broadcast_if_small(supported("person", "given", 2).select(F.col("token").alias("g_hub"), F.col("support").alias("g_support")))
-    surname = materialized(corrections(supported("person", "surname", 2)))
-    of_surname = broadcast_if_small(surname.select(F.col("token").alias("surname"), F.col("hub").alias("s_hub")))
-    s_counts = broadcast_if_small(surname.select(F.col("token").alias("s_hub"), F.col("support").alias("s_support")))
+def _persons(read: DataFrame) -> DataFrame:
+    """(text, entity) of the spellings that have a reading as a person."""
+    people = read.where("kind = 'person'").select("text", "shown", "given", "initial", "surname", "bonus", "sure")
+    # A given name stands with surnames: those are its support and its other evidence.
+    beside = people.where("length(given) > 1").select(F.lit("").alias("group"), F.col("given").alias("token"), "surname").distinct()
+    beside = beside.groupBy("group", "token").agg(F.count(F.lit(1)).alias("support")).withColumn("others", F.col("support"))
+    given = corrections(beside, GIVEN, ties=False).select(F.col("token").alias("given"), F.col("hub").alias("g_hub"))
+    people = materialized(people.join(given, "given", "left"))
 
-    people = read.where("kind = 'person'").join(given, "given", "left").join(of_surname, "surname", "left").join(counts, "g_hub", "left").join(s_counts, "s_hub", "left")
+    # How often a token is one or the other, by spellings: those with one reading only, and all.
+    roles = people.select("shown", "sure", F.explode(F.array(F.struct(F.col("g_hub").alias("token"), F.lit("g").alias("role")), F.struct(F.col("surname").alias("token"), F.lit("s").alias("role")))).alias("x")).select("shown", "sure", "x.*").where("token is not null").distinct()
+    count = lambda role, sure: F.count_if((F.col("role") == role) & (F.col("sure") | F.lit(not sure)))
+    used = materialized(roles.groupBy("token").agg(count("g", True).alias("sure_g"), count("s", True).alias("sure_s"), count("g", False).alias("all_g"), count("s", False).alias("all_s")))
+    as_given, as_surname = (used.select(*[F.col(c).alias(f"{c}{x}") for c in used.columns]) for x in ("1", "2"))
+    scored = people.join(as_given, F.col("g_hub") == F.col("token1"), "left").join(as_surname, F.col("surname") == F.col("token2"), "left")
     known = F.create_map(*[x for full in sorted(GIVEN) for x in (F.lit(full), F.lit(1))])
-    # A misspelt given name counts as known through its hub. Then: the widely shared given name, the surname that others have too.
-    score = F.col("bonus") + F.when(F.col("given").isNotNull() & (F.col("bonus") < 900) & known[F.coalesce("g_hub", F.lit(""))].isNotNull(), 900).otherwise(0) + F.least(F.coalesce("g_support", F.lit(0)), F.lit(300)) + F.least(F.coalesce("s_support", F.lit(0)), F.lit(40)) / 50
-    best = people.groupBy("text").agg(F.max_by(F.struct("g_hub", "initial", "s_hub"), F.struct(score.alias("score"), F.col("s_hub"), F.col("g_hub"))).alias("x")).select("text", "x.*")
+    corrected = F.when(F.col("g_hub").isNotNull() & (F.col("bonus") < 900) & known[F.coalesce("g_hub", F.lit(""))].isNotNull(), 900).otherwise(0)
+    # Rarity: what is common as a given name and rare as a surname; readings without choice weigh most.
+    rarity = 20 * (_ln("sure_g1") + _ln("sure_s2") - _ln("sure_s1") - _ln("sure_g2")) + _ln("all_g1") - _ln("all_s2")
+    best = scored.groupBy("text").agg(F.max_by(F.struct("shown", "g_hub", "initial", "surname"), F.struct((F.col("bonus") + corrected + rarity).alias("score"), F.col("surname"), F.col("g_hub"))).alias("x")).select("text", "x.*")
 
+    # The full names a given name stands for; none for an initial. A surname is corrected among people whose given names begin alike.
     full = F.create_map(*[x for short, names_ in sorted(FULL_NAMES.items()) for x in (F.lit(short), F.array(*map(F.lit, names_)))])
-    # Candidates: the full names a given name stands for; none for an initial.
-    best = materialized(best.withColumn("candidates", F.when(F.col("g_hub").isNotNull(), F.coalesce(full[F.col("g_hub")], F.array("g_hub")))))
-    family = best.where(F.size("candidates") == 1).select("s_hub", F.col("candidates")[0].alias("full")).distinct()
-    family = family.groupBy("s_hub").agg(F.sort_array(F.collect_set("full")).alias("family"))  # given names of one surname: a vocabulary, not rows
-    settled = best.join(family, "s_hub", "left").withColumn("family", F.coalesce("family", F.array().cast("array<string>")))
-    fits = F.when(F.col("candidates").isNull(), F.filter("family", lambda f: f.startswith(F.col("initial")))).otherwise(F.array_intersect("candidates", "family"))
-    settled = settled.withColumn("fits", fits).withColumn(
-        "given", F.when(F.size("fits") == 1, F.col("fits")[0]).when(F.size("candidates") == 1, F.col("candidates")[0]).otherwise(F.coalesce(F.col("g_hub"), F.concat(F.col("initial"), F.lit("."))))
-    )
-    settled = materialized(settled.select("text", "s_hub", "given"))
+    candidates = F.when(F.col("g_hub").isNotNull(), F.coalesce(full[F.col("g_hub")], F.array("g_hub")))
+    letters = F.array_distinct(F.transform(F.coalesce("candidates", F.array("initial")), lambda c: F.substring(c, 1, 1)))
+    best = materialized(best.withColumn("candidates", candidates).withColumn("least_ini", F.array_min(letters)).withColumn("ini", F.explode(letters)))
+    hubs = corrections(_supported(best, "ini", "surname", F.col("ini") == F.col("least_ini"))).select(F.col("group").alias("ini"), F.col("token").alias("surname"), F.col("hub").alias("s_hub"), F.col("support").alias("s_support"))
+    best = best.join(hubs, ["ini", "surname"]).groupBy("text").agg(F.max_by(F.struct("shown", "g_hub", "initial", "candidates", "s_hub"), F.struct(F.col("s_hub") != F.col("surname"), "s_support", "s_hub")).alias("x")).select("text", "x.*")
+    best = materialized(best)
+
+    # Rewritings that one person alone has: (surname, initial) and (surname, full name).
+    certain = best.where("size(candidates) = 1").select("s_hub", F.col("candidates")[0].alias("full")).distinct()
+    by_initial = certain.groupBy("s_hub", F.substring("full", 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full")).where("n = 1").drop("n")
+    initials = best.where("candidates is null").join(by_initial, ["s_hub", "initial"], "left").select("text", "shown", "s_hub", F.coalesce("full", F.concat("initial", F.lit("."))).alias("given"))
+    several = best.where("size(candidates) > 1").select("text", "shown", "s_hub", "g_hub", F.explode("candidates").alias("full")).join(certain.withColumn("found", F.lit(True)), ["s_hub", "full"], "left")
+    several = several.groupBy("text").agg(F.first("shown").alias("shown"), F.first("s_hub").alias("s_hub"), F.count("found").alias("n"), F.max(F.when(F.col("found"), F.col("full"))).alias("full"), F.first("g_hub").alias("g_hub"))
+    several = several.select("text", "shown", "s_hub", F.when(F.col("n") == 1, F.col("full")).otherwise(F.col("g_hub")).alias("given"))
+    settled = best.where("size(candidates) = 1").select("text", "shown", "s_hub", F.col("candidates")[0].alias("given")).unionByName(initials).unionByName(several)
+    settled = materialized(settled)
     # Two misspellings of one surname may differ in two places: they meet only under the same given name.
-    used = settled.join(read.select("text", "shown").distinct(), "text").groupBy(F.col("given").alias("group"), F.col("s_hub").alias("token")).agg(F.count_distinct("shown").alias("support"))
-    meeting = corrections(used, left_out=2, least=8).select(F.col("group").alias("given"), F.col("token").alias("s_hub"), F.col("hub").alias("surname"))
-    persons = settled.join(meeting, ["given", "s_hub"]).select("text", F.concat_ws("|", F.lit("person"), "surname", "given").alias("entity"))
-
-    # The place comes first or last: of the two readings the one whose place fewer names have as any other word.
-    orgs = read.where("kind in ('organisation', 'maybe')")
-    places = materialized(corrections(supported("organisation maybe", "place", 2)))
-    place = broadcast_if_small(places.select(F.col("token").alias("place"), F.col("hub").alias("p_hub")))
-    initial_support = broadcast_if_small(read.where("kind = 'organisation'").select("shown", F.explode("bodies").alias("body")).distinct().where("length(body) > 1").groupBy("body").agg(F.count(F.lit(1)).alias("b_support")))
-    known_place = broadcast_if_small(read.where("kind = 'organisation'").join(place, "place").select("p_hub", F.explode("bodies").alias("body")).distinct())
-    each = orgs.join(place, "place").select("text", "kind", "p_hub", F.explode("bodies").alias("body")).join(initial_support, "body", "left").where("length(body) > 1")
-    # Capitals name an organisation only if another spelling gives the same body at the same place.
-    sure = each.where("kind = 'organisation'").unionByName(each.where("kind = 'maybe'").join(known_place, ["p_hub", "body"], "left_semi"))
-    chosen = sure.groupBy("text").agg(F.max_by(F.struct("p_hub", "body", "b_support"), F.struct(~F.col("p_hub").isin(sorted(BODIES)), "b_support", F.length("body"), "p_hub")).alias("x")).select("text", "x.*")
-    chosen = materialized(chosen)
-    # A misspelt word changes an initial: a body that hardly anyone has takes the usual one of its place, if that is one initial off.
-    bodies = materialized(chosen.groupBy("p_hub", "body").agg(F.max("b_support").alias("b_support")).withColumn("form", F.explode(_left_out(F.col("body"), 1))))
-    usual = bodies.select("p_hub", "form", F.col("body").alias("usual"), F.col("b_support").alias("u_support"))
-    near = bodies.join(usual, ["p_hub", "form"]).where((F.col("u_support") > USUAL * F.col("b_support")) | (F.col("body") == F.col("usual")))
-    hubs = near.groupBy("p_hub", "body").agg(F.max_by("usual", F.struct("u_support", "usual")).alias("usual"))
-    organisations = chosen.join(hubs, ["p_hub", "body"]).select("text", F.concat_ws("|", F.lit("organisation"), "p_hub", "usual").alias("entity"))
+    meeting = corrections(_supported(settled, "given", "s_hub", F.lit(True)), left_out=2, least=LONG).select(F.col("group").alias("given"), F.col("token").alias("s_hub"), F.col("hub").alias("surname"))
+    # Two tokens in either order are one person, whichever was read as the given name.
+    return settled.join(meeting, ["given", "s_hub"]).select("text", F.concat_ws("|", F.lit("person"), F.greatest("surname", "given"), F.least("surname", "given")).alias("entity"))
+
+
+def _organisations(read: DataFrame) -> DataFrame:
+    """(text, entity) of the spellings that have a reading as an organisation. Capitals count only if another spelling has the same body at the same place."""
+    rows = read.where("kind in ('organisation', 'maybe')").select("text", "shown", "kind", "place", "body", "initials", "sure").where("length(place) > 1 and size(initials) > 0")
+    rows = rows.withColumn("ini", F.explode("initials")).where("length(ini) > 1")
+    places = corrections(_supported(rows, "ini", "place", F.col("body").isNotNull())).select(F.col("group").alias("ini"), F.col("token").alias("place"), F.col("hub").alias("p_hub"))
+    rows = materialized(rows.join(places, ["ini", "place"]))
+    firm = rows.where("kind = 'organisation'")
+    initials = firm.select("shown", "ini").distinct().groupBy("ini").agg(F.count(F.lit(1)).alias("b_support"))
+    as_place = firm.where("sure").select("shown", "p_hub").distinct().groupBy("p_hub").agg(F.count(F.lit(1)).alias("p_support"))
+    at_place = firm.select("p_hub", "ini").distinct()
+    sure = firm.unionByName(rows.where("kind = 'maybe'").join(at_place, ["p_hub", "ini"], "left_semi"))
+    scored = sure.join(initials, "ini", "left").join(as_place, "p_hub", "left")
+    order = F.struct(~F.col("p_hub").isin(sorted(BODIES)), F.coalesce("p_support", F.lit(0)) > 0, F.coalesce("b_support", F.lit(0)), F.length("ini"), F.col("p_hub"))
+    chosen = materialized(scored.groupBy("text").agg(F.max_by(F.struct("shown", "p_hub", "body", "ini"), order).alias("x")).select("text", "x.*"))
+    # Bodies of one place are told apart by their words; what stands at one place is corrected there.
+    worded = corrections(_supported(chosen.where("body is not null"), "p_hub", "body", F.lit(True)).withColumn("others", F.lit(1)), left_out=2).select(F.col("group").alias("p_hub"), F.col("token").alias("body"), F.col("hub").alias("b_hub"))
+    named = materialized(chosen.where("body is not null").join(worded, ["p_hub", "body"]).select("text", "p_hub", "ini", "b_hub"))
+    # An acronym stands for the one body of its place with these initials, or with one of its letters more; several share none.
+    unique = lambda rows: rows.distinct().groupBy("p_hub", "ini").agg(F.count(F.lit(1)).alias("n"), F.min("b_hub").alias("b_hub")).where("n = 1").drop("n")
+    owners = unique(named.select("p_hub", "ini", "b_hub"))
+    short = chosen.where("body is null").select("text", "p_hub", F.col("ini").alias("own"), F.explode(F.when(F.length("ini") > 3, _left_out(F.col("ini"), 1)).otherwise(F.array("ini"))).alias("ini"))
+    short = short.join(owners, ["p_hub", "ini"], "left").groupBy("text").agg(F.first("p_hub").alias("p_hub"), F.first("own").alias("own"), F.max_by("b_hub", F.length("ini")).alias("exact"), F.count_distinct("b_hub").alias("n"), F.min("b_hub").alias("any"))
+    short = short.select("text", "p_hub", F.coalesce("exact", F.when(F.col("n") == 1, F.col("any")), F.col("own")).alias("b_hub"))
+    return named.select("text", "p_hub", "b_hub").unionByName(short).select("text", F.concat_ws("|", F.lit("organisation"), "p_hub", "b_hub").alias("entity"))
+
+
+def entities(names: DataFrame, column: str = "text") -> DataFrame:
+    """(text, entity): the entity each distinct spelling names.
+
+    Null, empty and anonymous names have no entity; a spelling that can't be read as a person or
+    organisation is its own. Repeated rows count once. The text alone decides, links don't.
+    """
+    context = names.sparkSession.sparkContext
+    cores = max(context.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A fixed number of parts: reading is heavy per row, few bytes must not end up in one task.
+    texts = names.select(F.col(column).alias("text")).where("text is not null").repartition(cores, "text").distinct()
+    read = materialized(texts.mapInArrow(_read, READING))
+    organisations = materialized(_organisations(read))
     singles = read.where("kind = 'single'").select("text", F.concat_ws("|", F.lit("single"), "surname").alias("entity"))
-    persons = persons.join(organisations, "text", "left_anti")
-    return persons.unionByName(organisations).unionByName(singles)
+    return _persons(read).join(organisations, "text", "left_anti").unionByName(organisations).unionByName(singles)
 
 
 def links(authors: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -366,5 +434,5 @@ def links(authors: DataFrame, recordings: DataFrame) -> DataFrame:
     a, b = by_author.select("entity", F.col("author_ordinal").alias("id_a")), by_author.select("entity", F.col("author_ordinal").alias("id_b"))
     pairs = a.join(b, "entity").where("id_a < id_b").select(F.lit("author").alias("kind"), "id_a", "id_b")
     open_ones = artists.where("author_ordinal is null and recording_id is not null").join(entity, "text").select("entity", F.col("recording_id").alias("id_a"))
-    found = open_ones.join(broadcast_if_small(b), "entity").select(F.lit("recording").alias("kind"), "id_a", "id_b")
+    found = open_ones.join(b, "entity").select(F.lit("recording").alias("kind"), "id_a", "id_b")
     return pairs.unionByName(found).distinct()
