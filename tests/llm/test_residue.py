@@ -90,3 +90,49 @@ def test_error_templates_of_unlisted_wording_are_induced(spark):
     plain = ["Speakers over 60 years of age drop the last vowel."] * 40 + ["Speakers over 60 years of age drop the last vowel.\nPage not found"]
     df = spark.createDataFrame([(i, t, 0, "f", "k") for i, t in enumerate(texts + plain)], DOCUMENTS)
     assert sorted(r.doc_id for r in residue.residue(df).collect()) == [*range(len(texts)), len(texts + plain) - 1]
+
+
+#: Ordinary prose with words and signs that are residue elsewhere.
+PROSE = [
+    "None of the older speakers used the word.", "A null morpheme is written with a zero sign.", "The plural is undefined in this dialect.", "None but the miller knew it.", "The accent is null and void here.", "Its origin remains undefined.",
+    "The test of time was kind to the word.", "A second test showed the same vowel.", "The test 3 was harder than test 4.", "He put the word to the test in 1899.", "The root [sic] is spelled with a double consonant.", "See [USA] for the American use.", "The form [kluː] is older.", "The set {a, i, u} is closed.",
+    "The price rose by 5 % in May.", "It cost $5 or $6 a pound.", "Write to the editors @ the old address.", "The array a[i] is read from left to right.", "If x < y, then y > x.", "A tilde ~ marks the gap.", "The pipe | parts two senses.", "Tag #5 is missing in drawer 7.",
+    "The sign () is read as nothing.", "An empty pair of quotes, “”, stands for silence.", "The Null device is a joke.", "Nan was a common name.", "NaN is short for not a number.", "Nil is the score in football.", "He said None and left.", "The word TO DO is two words.", "“Null” is German for zero.",
+    "Sed is the Latin word for but.", "The magna carta was sealed in 1215.", "Nulla is a hamlet.", "The urna held ashes.", "Lore is handed down, not ipsum.", "A dummy is a doll.", "The placeholder of a chair is its owner.", "Insert a coin and turn the crank.", "Replace the lid.", "Add the salt and stir.", "Missing teeth change the vowel.",
+    "The page was found in an attic.", "The server brought the soup.", "The script of the play is lost.", "Scripts of the east run downwards.", "The gateway of the abbey is bad.", "He had no permission to enter.", "The error was found and mended.", "Access to the well was denied to strangers.", "Try the home of the baker.", "The link between the two roots is weak.",
+]
+
+
+def test_ordinary_prose_stays(spark):
+    texts = PROSE + PROSE[:3] * 6 + ["The older speakers used the word.", "Most of the older speakers used the word."]
+    df = spark.createDataFrame([(i, t, 0, "f", "k") for i, t in enumerate(texts)], DOCUMENTS)
+    assert [texts[r.doc_id] for r in residue.residue(df).collect()] == []
+
+
+MISSED = ["Pagina non trovata", "페이지를 찾을 수 없습니다", "This page is coming soon", "Dear <<NAME>>, your order %s has shipped.", "[NAME] was born in [PLACE].", "Hello {{#if user}}", "Testo segnaposto per l'impaginazione", "sed nec sit sed nec", "{{{1 or a name of more than twenty characters|x}}}", "Because the reader of this long and winding entry may also want to hear how it is said aloud, please enable, in the settings of the browser that you happen to use, JavaScript."]
+
+
+def test_further_wordings(spark):
+    df = spark.createDataFrame([(i, t, 0, "f", "k") for i, t in enumerate(MISSED + PROSE)], DOCUMENTS)
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == list(range(len(MISSED)))
+
+
+def test_a_repeated_page_is_found_whatever_its_wording(spark):
+    texts = ["Oops, that link has gone. Try the home page."] * 21 + PROSE[:12]
+    cited = ["The phrase “that link has gone, try the home page” is cited under page."] * 21
+    df = spark.createDataFrame([(i, t, 0, "f", "k") for i, t in enumerate(texts + cited)], DOCUMENTS)
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == list(range(21))
+
+
+def test_values_that_are_words_too_need_an_induced_slot(spark):
+    filled = [f"Speakers from {w.title()} call it a {m} in the hills." for w in WORDS for m in WORDS[:5]]
+    left = ["Speakers from None call it a kiln in the hills.", "Speakers from Ferry call it a null in the hills.", "Speakers from ~~place~~ call it a [WORD] in the hills.", "Speakers from “” call it a kiln in the hills."]
+    df = spark.createDataFrame([(i, t, 0, "f", "k") for i, t in enumerate(left + filled)], DOCUMENTS)
+    assert sorted(r.doc_id for r in residue.residue(df).collect()) == list(range(len(left)))
+
+
+@pytest.mark.parametrize("pattern", [*residue.ERRORS])
+def test_hints_hold_for_every_listed_message(pattern):
+    # The words looked for first must stand in every message that the list can match.
+    plain = [w for w in residue._MESSAGE_WORDS if w in pattern.lower()]
+    assert plain, pattern
