@@ -43,13 +43,30 @@ def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "jawiktionary_20260901")
-    return flatten.supertype(lines, with_payload=False).select("source_line_number", "child_kind", "sense_pos", "item_pos")
+    """The rows that the automaton routes to the tables of examples with a text, translations with a word and sounds with an audio."""
+    routed = flatten.supertype(table(spark, sf, "jawiktionary_20260901"), with_payload=False)
+    found = routed.where("(child_kind, subtype) in (('example', 'text'), ('translation', 'word'), ('sound', 'audio')) and (child_kind <> 'example' or sense_pos >= 0)")
+    return found.select("source_line_number", "child_kind", "sense_pos", "item_pos")
+
+
+#: Columns of each kind in the queries below; lists are joined, so that their rows compare.
+P6_TEXTS = {"sense": ("note",), "example": ("text", "translation", "english", "roman", "ref"), "translation": ("word", "lang", "lang_code", "code", "note", "sense", "roman"), "sound": ("audio", "ipa", "oga_url", "other")}
+P6_LISTS = {"sense": ("glosses", "tags", "raw_tags", "topics", "categories"), "example": (), "translation": ("tags",), "sound": ("tags", "homophones")}
 
 
 def _p6(kind: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return flatten.subtype(flatten.supertype(table(spark, sf, "jawiktionary_20260901")), kind)
+        typed = flatten.subtype(flatten.supertype(table(spark, sf, "jawiktionary_20260901")), kind)
+        return typed.select("source_line_number", "sense_pos", "item_pos", "subtype", *P6_TEXTS[kind], *[F.array_join(c, "|").alias(c) for c in P6_LISTS[kind]])
+
+    return query
+
+
+def _p6_route(kind: str, route: str):
+    """The table of one subtype, with all the columns that its own variants have."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return flatten.subtype(flatten.supertype(table(spark, sf, "jawiktionary_20260901")), kind, route=route)
 
     return query
 
@@ -58,13 +75,18 @@ def p6_variants(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.variants(flatten.supertype(table(spark, sf, "jawiktionary_20260901")))
 
 
+def p6_subtypes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many children each subtype table holds."""
+    return p6_variants(spark, sf).groupBy("child_kind", "subtype").agg(F.sum("n").alias("n"))
+
+
 def p6_nested(spark: SparkSession, sf: str) -> DataFrame:
     """The items of all other nested lists, with their parents' keys."""
     return flatten.nested(flatten.supertype(table(spark, sf, "jawiktionary_20260901")))
 
 
 def p6_form_of(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.subtype(p6_nested(spark, sf), "sense.form_of")
+    return flatten.subtype(p6_nested(spark, sf), "sense.form_of").select("source_line_number", "sense_pos", "list_pos", "word")
 
 
 def queries() -> dict:
@@ -79,7 +101,10 @@ def queries() -> dict:
         "p6_examples": _p6("example"),
         "p6_translations": _p6("translation"),
         "p6_sounds": _p6("sound"),
+        "p6_sounds_audio": _p6_route("sound", "audio"),
+        "p6_sounds_ipa": _p6_route("sound", "ipa"),
         "p6_variants": p6_variants,
+        "p6_subtypes": p6_subtypes,
         "p6_nested": p6_nested,
         "p6_form_of": p6_form_of,
     }
@@ -107,17 +132,35 @@ WITH l AS (SELECT DISTINCT source_line_number, source_json::JSON AS j FROM jawik
 s AS (SELECT source_line_number, (u.i - 1)::INT AS sense_pos, json_extract(j, '$.senses[' || (u.i - 1) || ']') AS j
       FROM l, unnest(range(1, coalesce(json_array_length(j, '$.senses'), 0)::BIGINT + 1)) AS u(i)),
 h AS (SELECT source_line_number, -1 AS sense_pos, j FROM l UNION ALL SELECT * FROM s),
-c AS (SELECT source_line_number, k.kind AS child_kind, sense_pos, (u.i - 1)::INT AS item_pos, json_extract(j, '$.' || k.list || '[' || (u.i - 1) || '].' || k.field) AS v
-      FROM h, (VALUES ('example', 'examples', 'text'), ('translation', 'translations', 'word'), ('sound', 'sounds', 'audio')) AS k(kind, list, field),
+c AS (SELECT source_line_number, k.kind AS child_kind, sense_pos, (u.i - 1)::INT AS item_pos, json_extract(j, '$.' || k.list || '[' || (u.i - 1) || ']') AS v
+      FROM h, (VALUES ('example', 'examples'), ('translation', 'translations'), ('sound', 'sounds')) AS k(kind, list),
            unnest(range(1, coalesce(json_array_length(j, '$.' || k.list), 0)::BIGINT + 1)) AS u(i)
-      WHERE k.kind <> 'example' OR sense_pos >= 0)
-SELECT DISTINCT source_line_number, child_kind, sense_pos, item_pos FROM c WHERE json_type(v) = 'VARCHAR' AND json_extract_string(v, '$') <> ''
+      UNION ALL SELECT source_line_number, 'sense', sense_pos, sense_pos, j FROM s),
+r AS (SELECT *, CASE WHEN json_type(v) <> 'OBJECT' THEN 'value' ELSE coalesce((SELECT min_by(k.field, k.place) FROM
+        (VALUES ('sense', 'form_of', 'ARRAY', 1), ('sense', 'glosses', 'ARRAY', 2), ('example', 'text', 'VARCHAR', 1), ('example', 'ref', 'VARCHAR', 2), ('translation', 'word', 'VARCHAR', 1),
+                ('translation', 'note', 'VARCHAR', 2), ('sound', 'audio', 'VARCHAR', 1), ('sound', 'ipa', 'VARCHAR', 2), ('sound', 'homophones', 'ARRAY', 3)) AS k(kind, field, type, place)
+        WHERE k.kind = child_kind AND json_type(v, '$.' || k.field) = k.type AND json_extract_string(v, '$.' || k.field) <> ''), 'other') END AS subtype FROM c)
 """
 
 
+def _p6_sql(kind: str) -> str:
+    joined = [f"array_to_string(list_transform(json_extract(v, '$.{c}[*]'), lambda x: json_extract_string(x, '$')), '|')" for c in P6_LISTS[kind]]
+    lists = [f"CASE WHEN json_type(v, '$.{c}') = 'ARRAY' THEN {j} END AS {c}" for c, j in zip(P6_LISTS[kind], joined, strict=True)]
+    texts = [f"json_extract_string(v, '$.{c}') AS {c}" for c in P6_TEXTS[kind]]
+    return _P6 + f"SELECT source_line_number, sense_pos, item_pos, subtype, {', '.join([*texts, *lists])} FROM r WHERE child_kind = '{kind}'"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT pack_id, from_date, to_date, authored_headword, change_kind FROM f",
         "p1_summary": _P1 + "SELECT pack_id, from_date, to_date, change_kind, count(*) AS n FROM f GROUP BY ALL",
-        "p6_found": _P6,
+        "p6_found": _P6
+        + "SELECT source_line_number, child_kind, sense_pos, item_pos FROM r WHERE (child_kind, subtype) IN (('example', 'text'), ('translation', 'word'), ('sound', 'audio')) AND (child_kind <> 'example' OR sense_pos >= 0)",
+        "p6_subtypes": _P6 + "SELECT child_kind, subtype, count(*) AS n FROM r GROUP BY ALL",
+        "p6_senses": _p6_sql("sense"),
+        "p6_examples": _p6_sql("example"),
+        "p6_translations": _p6_sql("translation"),
+        "p6_sounds": _p6_sql("sound"),
+        "p6_form_of": _P6
+        + "SELECT source_line_number, sense_pos, (u.i - 1)::INT AS list_pos, json_extract_string(v, '$.form_of[' || (u.i - 1) || '].word') AS word FROM r, unnest(range(1, json_array_length(v, '$.form_of')::BIGINT + 1)) AS u(i) WHERE child_kind = 'sense' AND subtype = 'form_of' AND json_type(v, '$.form_of[' || (u.i - 1) || ']') = 'OBJECT'",
     }

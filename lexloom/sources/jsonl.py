@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.strict_json import json_type, loads_strict
+from lexloom.tables import one_per_key
 
 #: Bounds of a line and of a record's forms.
 MAX_LINE_BYTES, MAX_ROUTING_FORMS = 64 * 1024 * 1024, 4096
@@ -109,8 +110,10 @@ def select(scanned: DataFrame, language: str) -> DataFrame:
 
 
 def from_table(table: DataFrame, line: str, offset: str, text: str) -> DataFrame:
-    """A table of lines as a scan; a line loaded again counts once."""
-    return table.select(F.col(line).alias("line_number"), F.col(offset).alias("byte_offset"), F.col(text).cast("binary").alias("source_bytes")).dropDuplicates(["line_number"])
+    """A table of lines as a scan; of a line loaded again the newest content (by loaded_at, if there is one) counts."""
+    order = [c for c in ("loaded_at",) if c in table.columns]
+    read = table.select(F.col(line).alias("line_number"), F.col(offset).alias("byte_offset"), F.col(text).cast("binary").alias("source_bytes"), *order)
+    return one_per_key(read, "line_number", order).drop(*order)
 
 
 def capture_facts(spark: SparkSession, path: str) -> DataFrame:

@@ -64,6 +64,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def one_per_key(rows: DataFrame, key: str, newest: list[str]) -> DataFrame:
+    """One row per ``key``: of rows that share one the last by the columns ``newest``, then by all others.
+
+    Only the rows of repeated keys are shuffled; the keys that repeat are found from the key column alone.
+    """
+    again = materialized(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key))
+    others = [c for c in rows.columns if c != key]
+    last = rows.join(again, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*newest, F.xxhash64(*others))).alias("__x"))
+    return rows.join(again, key, "left_anti").select(*rows.columns).unionByName(last.select(key, *[F.col(f"__x.{c}").alias(c) for c in others]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,16 +18,21 @@ def rows(spark, texts):
 
 def test_positions_and_dirty_lines(spark):
     texts = [(1, json.dumps(RECORD)), (1, json.dumps(RECORD)), (2, "[]"), (3, None), (4, ""), (5, json.dumps(RECORD)[:-3]), (6, '{"senses": 5, "sounds": {"audio": "z"}}'), (7, "{}"), (None, json.dumps(RECORD))]
-    found = {tuple(r) for r in supertype(rows(spark, texts), False).select("source_line_number", "child_kind", "sense_pos", "item_pos").collect()}
-    assert found == {(1, "example", 0, 1), (1, "translation", 1, 0), (1, "sound", 3, 0), (1, "translation", -1, 1), (1, "sound", -1, 0)}
+    made = supertype(rows(spark, texts), False)
+    found = {tuple(r) for r in made.where("subtype in ('text', 'word', 'audio')").select("source_line_number", "child_kind", "sense_pos", "item_pos").collect()}
+    assert found == {(1, "example", 0, 1), (1, "translation", 1, 0), (1, "sound", 3, 0), (1, "translation", -1, 1), (1, "sound", -1, 0), (1, "example", -1, 0)}
+    # Nothing is left out: every other child is routed elsewhere, once.
+    rest = sorted(tuple(r) for r in made.where("subtype not in ('text', 'word', 'audio')").select("source_line_number", "child_kind", "subtype", "sense_pos", "item_pos").collect())
+    assert rest == [(1, "example", "other", 0, 3), (1, "example", "ref", 0, 0), (1, "example", "value", 0, 2), (1, "sound", "other", -1, 1), (1, "translation", "note", -1, 0)]
     assert supertype(rows(spark, []), False).count() == 0
 
 
 def test_typed_tables_keep_links_and_variants(spark):
     made = supertype(rows(spark, [(1, json.dumps(RECORD))]))
-    example = subtype(made, "example").first()
-    assert (example.sense_pos, example.item_pos, example.text) == (0, 1, "t")
-    assert {r.sense_pos for r in subtype(made, "sense").collect()} == {0, 1, 3}
+    example = subtype(made, "example", route="text").where("sense_pos = 0").first()
+    assert (example.item_pos, example.text, example.ref) == (1, "t", 3)
+    assert {(r.sense_pos, r.subtype) for r in subtype(made, "sense").collect()} == {(0, "glosses"), (1, "other"), (2, "value"), (3, "other")}
+    assert [(r.item_pos, r.payload) for r in subtype(made, "example", route="value").collect()] == [(2, '"odd"')]
     assert sum(r.n for r in variants(made).collect()) == made.count()
 
 
@@ -67,5 +72,12 @@ def test_a_variant_is_routed_to_its_own_columns(spark):
     made = supertype(rows(spark, [(1, json.dumps({"sounds": [{"audio": "a", "flag": True}, {"audio": "b", "note": "n"}]}))]))
     flagged = made.where("item_pos = 0").first().variant
     routed = subtype(made, "sound", flagged)
-    assert routed.columns == ["source_line_number", "sense_pos", "item_pos", "variant", "audio", "flag", "payload"]
+    assert routed.columns == ["source_line_number", "subtype", "sense_pos", "item_pos", "variant", "audio", "flag", "payload"]
     assert [(r.audio, r.flag) for r in routed.collect()] == [("a", True)]
+
+
+def test_of_a_line_loaded_again_the_newest_content_counts(spark):
+    old, new = (json.dumps({"sounds": [{"audio": a}] * n}) for a, n in (("old", 2), ("new", 1)))
+    lines = spark.createDataFrame([(1, new, 2), (1, old, 1), (1, new, 2), (2, old, 1)], "source_line_number long, source_json string, loaded_at long")
+    found = sorted((r.source_line_number, r.item_pos, json.loads(r.payload)["audio"]) for r in supertype(lines).collect())
+    assert found == [(1, 0, "new"), (2, 0, "old"), (2, 1, "old")]
