@@ -8,8 +8,9 @@
    costs 1, renaming one costs the share of words whose values disagree, keeping one is free.
    The children of two aligned nodes are matched at minimum cost (unordered trees, top down).
    A subtree that ends at one place and begins with the same values at another is a move.
-4. The scripts are compiled into one projection per file, which gives all records the newest
-   file's names and types.
+   A move is part of the cost: deleting or adding a node that could be moved costs half the move.
+4. The scripts of all later files are compiled into projections, Spark expressions over variants:
+   each field of the newest schema is read from where its file has it and gets one type.
 
 Driver and single tasks hold schemas only (paths and types), never records.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.strict_json import json_type, loads_object
 from lexloom.tables import broadcast_if_small, materialized
 
+#: What it costs to take a field to another parent, besides the share of words whose values differ.
+MOVE = 0.5
 #: A path was renamed if more than this share of the words that both files have hold the same values.
 SAME = 0.5
 CHANGE = "pair int, file_name string, change_kind string, field_path string, new_path string, old_types string, new_types string"
@@ -57,8 +60,25 @@ def file_order(files: DataFrame) -> DataFrame:
     return names.select("file_name", (F.row_number().over(Window.orderBy(F.regexp_extract("file_name", r"(\d{8})", 1), "file_name")) - 1).alias("pair"))
 
 
-def schema_paths(files: DataFrame) -> DataFrame:
-    """(file_name, path, kind, n): the JSON types at each path of each file. Lines that aren't an object don't count."""
+def nodes(value: Any, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, type) of every key and every list item; lists are marked by [] in a path. Whole numbers are told apart."""
+    if isinstance(value, dict):
+        for key, item in value.items():
+            below = f"{path}.{key}" if path else key
+            yield below, _kind(item)
+            yield from nodes(item, below)
+    elif isinstance(value, list):
+        for item in value:
+            yield f"{path}[]", _kind(item)
+            yield from nodes(item, f"{path}[]")
+
+
+def _kind(value: Any) -> str:
+    return "integer" if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63 else json_type(value)
+
+
+def schema_nodes(files: DataFrame) -> DataFrame:
+    """(file_name, node, kind, n): the types at each node of each file's schema, see nodes(). Lines that aren't an object don't count."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,14 +86,21 @@ def schema_paths(files: DataFrame) -> DataFrame:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 record = loads_object(text)
                 if record is not None:
-                    seen.update((name, path, json_type(value)) for path, value in walk(record))
+                    seen.update((name, node, kind) for node, kind in nodes(record))
             keys = list(seen)
             columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] for k in keys], pa.int64())], ["file_name", "path", "kind", "n"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] for k in keys], pa.int64())], ["file_name", "node", "kind", "n"])
 
     read = files.select("file_name", "source_json").where("file_name is not null and source_json is not null")
-    found = read.mapInArrow(rows, "file_name string, path string, kind string, n long")
-    return found.groupBy("file_name", "path", "kind").agg(F.sum("n").alias("n"))
+    found = read.mapInArrow(rows, "file_name string, node string, kind string, n long")
+    return found.groupBy("file_name", "node", "kind").agg(F.sum("n").alias("n"))
+
+
+def schema_paths(found: DataFrame) -> DataFrame:
+    """(file_name, path, kind, n) of schema_nodes(): the JSON types of the values of each key; lists add nothing to a path."""
+    kind = F.when(F.col("kind") == "integer", "number").otherwise(F.col("kind"))
+    keys = found.where(~F.col("node").endswith("[]")).select("file_name", F.replace("node", F.lit("[]"), F.lit("")).alias("path"), kind.alias("kind"), "n")
+    return keys.groupBy("file_name", "path", "kind").agg(F.sum("n").alias("n"))
 
 
 def path_sides(paths: DataFrame, order: DataFrame) -> DataFrame:
@@ -173,6 +200,24 @@ class TreeDiff:
         self.trees = [self._children(before), self._children(after)]
         self.sizes = [self._sizes(t) for t in self.trees]
         self.disagree = disagree
+        # Half of what moving a node instead of deleting or adding it saves, at best.
+        self.saved: list[dict[str, float]] = [{}, {}]
+        for (p, q), off in disagree.items():
+            if self.movable(p, q):
+                for side, x in enumerate((p, q)):
+                    self.saved[side][x] = max(self.saved[side].get(x, 0.0), (2 - MOVE - off) / 2)
+
+    def movable(self, p: str, q: str) -> bool:
+        (above, _, key), (above2, _, key2) = p.rpartition("."), q.rpartition(".")
+        return key == key2 and above != above2 and self.disagree.get((p, q), 2.0) < SAME
+
+    def moves(self, lost: list[str], gained: list[str]) -> dict[str, str]:
+        """The cheapest matching of deleted and added nodes that are moves."""
+        lost, gained = [p for p in lost if p in self.saved[0]], [q for q in gained if q in self.saved[1]]
+        size = max(len(lost), len(gained))
+        worth = lambda i, j: i < len(lost) and j < len(gained) and self.movable(lost[i], gained[j])
+        cost = [[MOVE + self.disagree[lost[i], gained[j]] if worth(i, j) else 2.0 for j in range(size)] for i in range(size)]
+        return {lost[i]: gained[j] for i, j in enumerate(_assignment(cost)) if worth(i, j)} if size else {}
 
     @staticmethod
     def _children(paths: set[str]) -> dict[str, list[str]]:
@@ -211,10 +256,10 @@ class TreeDiff:
                 else:
                     cost[i][j] = 1e6
             for j in range(len(b), size):
-                cost[i][j] = float(self.sizes[0][p])
+                cost[i][j] = self.sizes[0][p] - self.saved[0].get(p, 0.0)
         for i in range(len(a), size):
             for j, q in enumerate(b):
-                cost[i][j] = float(self.sizes[1][q])
+                cost[i][j] = self.sizes[1][q] - self.saved[1].get(q, 0.0)
         for i, j in enumerate(_assignment(cost)):
             total += cost[i][j]
             if i < len(a) and j < len(b):
@@ -245,14 +290,12 @@ def edit_scripts(sides: DataFrame, agreement: DataFrame, order: DataFrame) -> Da
         before = {r.path: r.before for r in known.itertuples() if isinstance(r.before, str)}
         after = {r.path: r.after for r in known.itertuples() if isinstance(r.after, str)}
         disagree = {(r.path, r.other): r.off for r in pdf[pdf["other"].notna()].itertuples()}
-        found = TreeDiff(set(before), set(after), disagree).align()[1]
+        diff = TreeDiff(set(before), set(after), disagree)
+        found = diff.align()[1]
         out: list[tuple] = []
         renames = {old: new for kind, old, new in found if kind == "renamed"}
         lost, gained = [o for k, o, _ in found if k == "removed"], [n for k, _, n in found if k == "added"]
-        moves: dict[str, str] = {}
-        for off, old, new in sorted((disagree[o, n], o, n) for o in lost for n in gained if disagree.get((o, n), 1.0) < SAME and o.rpartition(".")[2] == n.rpartition(".")[2]):
-            if old not in moves and new not in moves.values():
-                moves[old] = new
+        moves = diff.moves(lost, gained)
         for old, new in renames.items():
             out.append(("renamed", old, new))
             out += [("carried", p, new + p[len(old) :]) for p in before if p.startswith(old + ".") and new + p[len(old) :] in after]
@@ -271,15 +314,15 @@ def edit_scripts(sides: DataFrame, agreement: DataFrame, order: DataFrame) -> Da
     return made.join(broadcast_if_small(later), "pair").select(*[c.split()[0] for c in CHANGE.split(", ")])
 
 
-def drift(files: DataFrame, word: str = "word") -> DataFrame:
+def drift(files: DataFrame, word: str = "word", found: DataFrame | None = None) -> DataFrame:
     """The report of all changes between consecutive files (see edit_scripts).
 
-    files: file_name, source_json. Null and malformed lines and values that aren't objects
+    files: file_name, source_json. found: schema_nodes(files), if it is at hand. Null and malformed lines and values that aren't objects
     don't count; repeated lines change nothing; a file without any object has an empty schema.
     Fewer than two files give no rows.
     """
     order = file_order(files).transform(materialized)
-    sides = materialized(path_sides(schema_paths(files), order))
+    sides = materialized(path_sides(schema_paths(schema_nodes(files) if found is None else found), order))
     return edit_scripts(sides, value_agreement(files, order, sides, word), order)
 
 
@@ -293,66 +336,181 @@ def changes(report: DataFrame) -> DataFrame:
     return plain.select("file_name", "field_path", "change_kind", "new_path").unionByName(both).distinct()
 
 
-def compile_projections(report: DataFrame, order: DataFrame) -> dict[str, dict[str, str]]:
-    """Old path to newest path for each file: the renames and moves of all later pairs, one after the other."""
-    steps = [(r.pair, r.field_path, r.new_path) for r in report.where(F.col("change_kind").isin("renamed", "moved", "carried")).collect()]
-    out: dict[str, dict[str, str]] = {}
-    following: dict[str, str] = {}
-    for r in sorted(order.collect(), key=lambda r: -r.pair):
-        here = {old: new for pair, old, new in steps if pair == r.pair}
-        following = following | {old: following.get(new, new) for old, new in here.items()}
-        out[r.file_name] = dict(following)
-    return out
-
+class Projection:
+    """Where each field of the newest schema stands in each file, and its one type. Holds schemas only.
 
-def _project(value: Any, path: str, moves: dict[str, str], types: dict[str, str]) -> Any:
-    """``value`` with its keys renamed and its leaves brought to the newest types."""
-    if isinstance(value, list):
-        return [_project(x, path, moves, types) for x in value]
-    if not isinstance(value, dict):
-        return value
-    out = {}
-    for key, item in value.items():
-        old = f"{path}.{key}" if path else key
-        new = moves.get(old, old)
-        item = _project(item, old, moves, types)
-        target = types.get(new, "")
-        if target == "array" and not isinstance(item, list) and item is not None:
-            item = [item]
-        elif target == "string" and not isinstance(item, str) and item is not None:
-            item = "、".join(item) if isinstance(item, list) and all(isinstance(x, str) for x in item) else json.dumps(item, ensure_ascii=False)
-        elif target == "number" and isinstance(item, str):
-            try:
-                item = json.loads(item)
-            except ValueError:
-                pass
-        elif target == "boolean" and isinstance(item, str):
-            item = {"yes": True, "true": True, "no": False, "false": False}.get(item.lower(), item)
-        out[new.rpartition(".")[2]] = item
-    return out
+    A field that the newest file doesn't have keeps the name and types of the last file that has it.
+    """
 
+    def __init__(self, report: DataFrame, order: DataFrame, found: DataFrame) -> None:
+        self.files = [r.file_name for r in sorted(order.collect(), key=lambda r: r.pair)]
+        steps = [(r.pair, r.field_path, r.new_path) for r in report.where(F.col("change_kind").isin("renamed", "moved", "carried")).collect()]
+        kinds: dict[str, dict[str, dict[str, int]]] = {f: {} for f in self.files}
+        for r in found.collect():  # paths and types, never values
+            kinds[r.file_name].setdefault(r.node, {})[r.kind] = r.n
+        self.kinds = kinds
+        #: Newest path of each path of each file: the renames and moves of all later files, one after the other.
+        self.names: dict[str, dict[str, str]] = {}
+        following: dict[str, str] = {}
+        for pair in range(len(self.files) - 1, -1, -1):
+            here = {old: new for p, old, new in steps if p == pair}
+            following = {old: new for old, new in following.items() if old not in here} | {old: following.get(new, new) for old, new in here.items()}
+            self.names[self.files[pair]] = dict(following)
+        #: Source node of each newest path by file, and the file whose types hold.
+        self.source: dict[str, dict[str, str]] = defaultdict(dict)
+        self.holder: dict[str, str] = {}
+        for f in self.files:
+            for node in sorted(kinds[f]):
+                if not node.endswith("[]"):
+                    path = node.replace("[]", "")
+                    new = self.names[f].get(path, path)
+                    # One path may stand at several nodes (in and outside of a list): the first that every later one extends.
+                    if new not in self.source or f not in self.source[new]:
+                        self.source[new][f] = node
+                        self.holder[new] = f
+        self.children: dict[str, list[str]] = defaultdict(list)
+        for path in sorted(self.source):
+            at = path
+            while at:  # a moved field may have a parent that no file holds
+                above = at.rpartition(".")[0]
+                if at in self.children[above]:
+                    break
+                self.children[above].append(at)
+                at = above
+
+    def types(self, path: str, items: str = "") -> set[str]:
+        f = self.holder.get(path)
+        return {"object"} if f is None else set(self.kinds[f].get(self.source[path][f] + items, {})) - {"null"}
 
-def unify(files: DataFrame, report: DataFrame) -> DataFrame:
-    """(file_name, source_line_number, record): all records with the newest file's names and types.
+    @staticmethod
+    def one(types: set[str]) -> str:
+        """The one type of a field: a list if there are lists (others become its items), text if nothing else holds all."""
+        if "array" in types:
+            return "array"
+        if types == {"object"}:
+            return "object"
+        if types and types <= {"integer", "number"}:
+            return "number" if "number" in types else "integer"
+        return "boolean" if types == {"boolean"} else "string"
 
-    A value that can't take the newest type keeps its own. Fields the newest file doesn't have stay.
-    Lines that aren't an object are left out; repeated lines stay. A move to another parent keeps
-    the value at its old place under the new name.
+    @staticmethod
+    def _get(variant: Column, keys: list[str], kind: str) -> Column:
+        """The value below ``keys``; keys that a variant path can't spell are looked up in a map."""
+        path = "$"
+        for i, key in enumerate(keys):
+            if set(key) & set("'?\\[]\""):
+                held = F.try_variant_get(variant, path, "map<string, variant>")
+                return Projection._get(F.try_element_at(held, F.lit(key)), keys[i + 1 :], kind)
+            path += f"['{key}']"
+        return F.try_variant_get(variant, path, kind)
+
+    def _at(self, variant: Column, base: dict[str, str], path: str, kind: str) -> Column:
+        """The value of ``path`` under the nodes ``base`` that ``variant`` stands for in each file."""
+        by_place: dict[str, list[str]] = defaultdict(list)
+        for f, node in self.source.get(path, {}).items():
+            above = base.get(f)
+            if above is not None and (not above or node.startswith(above + ".")) and "[]" not in (rest := node[len(above) :].lstrip(".")):
+                by_place[rest].append(f)
+        got = [(fs, self._get(variant, rest.split("."), kind)) for rest, fs in sorted(by_place.items())]
+        if not got:
+            return F.lit(None).cast(kind)
+        out = got[-1][1] if len(got) == 1 and set(got[0][0]) == set(self.files) else F.lit(None).cast(kind)
+        for fs, value in got:
+            out = F.when(F.col("file_name").isin(fs), value).otherwise(out)
+        return out
+
+    def value(self, variant: Column, base: dict[str, str], path: str) -> Column:
+        kind = self.one(self.types(path))
+        if kind == "object":
+            if not self.children.get(path):
+                return self._at(variant, base, path, "string")
+            made = self.struct(variant, base, path)
+            moved = [self.value(variant, base, c) for c in self.children[path] if any(self.source.get(path, {}).get(f) is None or not n.startswith(self.source[path][f] + ".") for f, n in self.source.get(c, {}).items())]
+            there = self._at(variant, base, path, "variant").isNotNull()
+            for c in moved:
+                there = there | c.isNotNull()
+            return F.when(there, made)
+        if kind == "array":
+            whole = self._at(variant, base, path, "variant")
+            listed = F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), F.when(whole.isNotNull() & ~F.is_variant_null(whole), F.array(whole)))
+            return F.transform(listed, lambda x: self._item(x, path, "[]"))
+        plain = self._at(variant, base, path, {"number": "double", "integer": "bigint"}.get(kind, kind))
+        if kind == "string" and any("array" in self.kinds[f].get(node, {}) for f, node in self.source.get(path, {}).items()):
+            return F.coalesce(F.array_join(self._at(variant, base, path, "array<string>"), "、"), plain)
+        return plain
+
+    def _item(self, item: Column, path: str, marks: str) -> Column:
+        kind = self.one(self.types(path, marks))
+        if kind == "array":
+            listed = F.coalesce(F.try_variant_get(item, "$", "array<variant>"), F.array(item))
+            return F.transform(listed, lambda x: self._item(x, path, marks + "[]"))
+        if kind == "object" and self.children.get(path):
+            base = {f: node + marks for f, node in self.source[path].items()}
+            return F.when(~F.is_variant_null(item), self.struct(item, base, path))
+        return F.try_variant_get(item, "$", {"number": "double", "integer": "bigint", "object": "string"}.get(kind, kind))
+
+    def struct(self, variant: Column, base: dict[str, str], path: str) -> Column:
+        return F.struct(*[c for _, c in self.columns(variant, base, path)])
+
+    def columns(self, variant: Column, base: dict[str, str], path: str, taken: set[str] = frozenset()) -> list[tuple[str, Column]]:
+        """(newest path, column) of the fields below ``path``; a name that another one has but for case gets a number."""
+        out, used = [], set(taken)
+        for child in self.children[path]:
+            name, n = child.rpartition(".")[2], 1
+            while (unique := name if n == 1 else f"{name}_{n}").casefold() in used:
+                n += 1
+            used.add(unique.casefold())
+            out.append((child, self.value(variant, base, child).alias(unique)))
+        return out
+
+
+def _variants(files: DataFrame) -> DataFrame:
+    """(file_name, source_line_number, v): the lines that are JSON objects, as variants.
+
+    In brackets no text can follow a record. What Spark's parser refuses (a key twice, ...) is read
+    once more by the strict one and written plainly.
     """
-    order = file_order(files)
-    moves = compile_projections(report, order)
-    newest = max(moves, key=lambda f: {r.file_name: r.pair for r in order.collect()}[f], default=None)
-    paths = schema_paths(files.where(F.col("file_name") == newest)) if newest else None
-    kinds: dict[str, set] = defaultdict(set)
-    for r in paths.collect() if paths is not None else []:
-        kinds[r.path].add(r.kind)
-    types = {p: (k - {"null"}).pop() for p, k in kinds.items() if len(k - {"null"}) == 1} | {p: "string" for p, k in kinds.items() if k - {"null"} == {"number", "string"}}
+    read = files.select("file_name", "source_line_number", "source_json").where("file_name is not null and source_json is not null")
+    bracketed = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    parsed = read.withColumn("all", bracketed(F.col("source_json")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, line, text = (c.to_pylist() for c in batch.columns)
-            made = [(f, n, _project(r, "", moves.get(f, {}), types)) for f, n, t in zip(name, line, text, strict=True) if (r := loads_object(t)) is not None]
-            columns = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([json.dumps(m[2], ensure_ascii=False) for m in made], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["file_name", "source_line_number", "record"])
+            texts = [None if (r := loads_object(t)) is None else json.dumps(r, ensure_ascii=False) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["file_name", "source_line_number", "source_json"])
+
+    again = parsed.where("all is null").drop("all").mapInArrow(rows, "file_name string, source_line_number long, source_json string").where("source_json is not null")
+    every = parsed.where("all is not null").unionByName(again.withColumn("all", bracketed(F.col("source_json"))))
+    one = every.where("try_variant_get(all, '$[1]', 'variant') is null").select("file_name", "source_line_number", F.try_variant_get("all", "$[0]", "variant").alias("v"))
+    return one.where("startswith(schema_of_variant(v), 'OBJECT')")
+
 
-    return files.select("file_name", "source_line_number", "source_json").mapInArrow(rows, "file_name string, source_line_number long, record string")
+def unify(files: DataFrame, report: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One table of all records: file_name, source_line_number and a typed column for each field of the newest schema.
+
+    Renamed and moved fields are read from where their file has them; fields that a file doesn't
+    have are null, and fields that the newest file doesn't have keep their own columns, so that no
+    field is lost. A field has one type: that of the newest file that has it (text where its values
+    are of several); a single value becomes a list of one where the type is a list, a list is joined where it is text; values that can't take the type are null and
+    counted by conversions(). A field moved from one list into another can't be told which item it
+    belongs to and is null. Lines that aren't an object are left out; repeated lines stay.
+    """
+    found = materialized(schema_nodes(files)) if found is None else found
+    plan = Projection(report, file_order(files), found)
+    taken = {"file_name", "source_line_number"}
+    return _variants(files).select("file_name", "source_line_number", *[c for _, c in plan.columns(F.col("v"), {f: "" for f in plan.files}, "", taken)])
+
+
+def conversions(files: DataFrame, report: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(file_name, field_path, new_path, kind, target, n): how many values of each file have another type than their column in unify()."""
+    found = materialized(schema_nodes(files)) if found is None else found
+    plan = Projection(report, file_order(files), found)
+    rows = []
+    for f in plan.files:
+        for node, kinds in plan.kinds[f].items():
+            path = node.replace("[]", "")
+            new = plan.names[f].get(path, path)
+            if not node.endswith("[]"):
+                target = plan.one(plan.types(new))
+                rows += [(f, path, new, k, target, n) for k, n in kinds.items() if k not in (target, "null")]
+    return files.sparkSession.createDataFrame(rows, "file_name string, field_path string, new_path string, kind string, target string, n long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import flatten, schema_drift, snapshot_diff
-from lexloom.tables import table
+from lexloom.tables import materialized, table
 
 #: The name under which the newest source file continues the series of source_lines.
 NEWEST_FILE = "jawiktionary-20260901.jsonl"
@@ -37,9 +37,23 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
-    """All records of all files in the newest file's names and types."""
+    """All records of all files in one typed table with the newest file's names and types."""
     files = all_files(spark, sf)
-    return schema_drift.unify(files, schema_drift.drift(files))
+    found = materialized(schema_drift.schema_nodes(files))
+    return schema_drift.unify(files, materialized(schema_drift.drift(files, found=found)), found)
+
+
+def p3_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the unified table: fields that were renamed or came as lists."""
+    codes = F.array_join(F.transform("translations", lambda t: F.coalesce(t["lang_code"], F.lit("-"))), "|")
+    return p3_unified(spark, sf).select("file_name", "source_line_number", "word", "pos_title", F.array_join("notes", "|").alias("notes"), "etymology_number", codes.alias("codes"))
+
+
+def p3_conversions(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values of each file come in another type than their column has."""
+    files = all_files(spark, sf)
+    found = materialized(schema_drift.schema_nodes(files))
+    return schema_drift.conversions(files, materialized(schema_drift.drift(files, found=found)), found)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +110,8 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p3_report": p3_report,
         "p3_unified": p3_unified,
+        "p3_titles": p3_titles,
+        "p3_conversions": p3_conversions,
         "p6_found": p6_found,
         "p6_senses": _p6("sense"),
         "p6_examples": _p6("example"),
@@ -143,6 +159,21 @@ r AS (SELECT *, CASE WHEN json_type(v) <> 'OBJECT' THEN 'value' ELSE coalesce((S
 """
 
 
+#: Old names of the fields in older files, as the report of problem 3 has them.
+_P3_TITLES = """
+WITH a AS (SELECT file_name, source_line_number, source_json FROM source_lines UNION ALL SELECT 'jawiktionary-20260901.jsonl', source_line_number, source_json FROM jawiktionary_20260901),
+o AS (SELECT file_name, source_line_number, source_json::JSON AS j FROM a WHERE json_valid(source_json) AND json_type(CASE WHEN json_valid(source_json) THEN source_json END) = 'OBJECT'),
+t AS (SELECT *, CASE WHEN file_name < 'jawiktionary-20260401' THEN json_extract(j, '$.pos_heading') ELSE json_extract(j, '$.pos_title') END AS title FROM o)
+SELECT file_name, source_line_number, json_extract_string(j, '$.word') AS word,
+  CASE WHEN json_type(title) = 'ARRAY' THEN array_to_string(list_transform(json_extract(title, '$[*]'), lambda x: json_extract_string(x, '$')), '、') ELSE json_extract_string(title, '$') END AS pos_title,
+  CASE WHEN json_type(j, '$.notes') = 'ARRAY' THEN array_to_string(list_transform(json_extract(j, '$.notes[*]'), lambda x: json_extract_string(x, '$')), '|') ELSE json_extract_string(j, '$.notes') END AS notes,
+  json_extract_string(j, '$.etymology_number') AS etymology_number,
+  CASE WHEN json_type(j, '$.translations') = 'ARRAY' THEN array_to_string(list_transform(json_extract(j, '$.translations[*]'), lambda x:
+    coalesce(json_extract_string(x, CASE WHEN file_name < 'jawiktionary-20260701' THEN '$.code' ELSE '$.lang_code' END), '-')), '|') END AS codes
+FROM t
+"""
+
+
 def _p6_sql(kind: str) -> str:
     joined = [f"array_to_string(list_transform(json_extract(v, '$.{c}[*]'), lambda x: json_extract_string(x, '$')), '|')" for c in P6_LISTS[kind]]
     lists = [f"CASE WHEN json_type(v, '$.{c}') = 'ARRAY' THEN {j} END AS {c}" for c, j in zip(P6_LISTS[kind], joined, strict=True)]
@@ -154,6 +185,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT pack_id, from_date, to_date, authored_headword, change_kind FROM f",
         "p1_summary": _P1 + "SELECT pack_id, from_date, to_date, change_kind, count(*) AS n FROM f GROUP BY ALL",
+        "p3_titles": _P3_TITLES,
         "p6_found": _P6
         + "SELECT source_line_number, child_kind, sense_pos, item_pos FROM r WHERE (child_kind, subtype) IN (('example', 'text'), ('translation', 'word'), ('sound', 'audio')) AND (child_kind <> 'example' OR sense_pos >= 0)",
         "p6_subtypes": _P6 + "SELECT child_kind, subtype, count(*) AS n FROM r GROUP BY ALL",
