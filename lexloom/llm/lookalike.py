@@ -3,8 +3,9 @@
 Texts are exploded to positioned code points and joined with one broadcast table that says what
 each code point becomes: nothing (no visible glyph), a plain space, its canonical or width
 decomposition, or the letter of the same shape. Combining marks are put in order of their
-class, the pieces are rebuilt and recomposed. The table follows from the character database
-by rule and has some fourteen thousand rows, whatever the data.
+class, the pieces are rebuilt and recomposed. The table follows from the character database and
+the confusables of the Unicode library that Spark ships, by rule, and has some fourteen
+thousand rows, whatever the data. Texts of code points that stay as they are need no exploding.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ SAME_SHAPE = {
     "‐": "-", "‑": "-", "−": "-", "﹣": "-",
 }
 
+#: Scripts whose letters of one case look like Latin letters of that case, by the first word of their names.
+ALPHABETS = {"GREEK", "CYRILLIC", "CHEROKEE", "COPTIC", "LISU", "DESERET"}
+#: Letters that the confusables hold for others but that are merely similar.
+MERELY_SIMILAR = set("αγισυͷᴦгѡҽѵУҮүꙇӏⲅꭵꮁ𐐕𐐛𐐠𐐽𐑈")
+
 #: Characters without a glyph that aren't format or control characters.
 NO_GLYPH = ["͏", "ᅟ", "ᅠ", "ㅤ", "ﾠ", "឴", "឵", *map(chr, range(0x180B, 0x1810)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))]
 
@@ -47,7 +53,28 @@ SAME_CHARACTER = [range(0x2E80, 0x2FD6), range(0x2160, 0x2180), range(0xF900, 0x
 PIECE = 256
 
 
-def _one(c: str) -> str:
+@cache
+def alphabets() -> str:
+    """Letters of ALPHABETS, small capitals and the script g, which may look like plain Latin letters."""
+    named = ((chr(n), unicodedata.name(chr(n), "")) for n in range(0x100, 0x20000) if unicodedata.category(chr(n)) in ("Lu", "Ll"))
+    return "".join(c for c, name in named if c not in MERELY_SIMILAR and (name.split(" ")[0] in ALPHABETS or name.startswith("LATIN LETTER SMALL CAPITAL ") and name[-2:] in (" C", " O", " S", " V", " W", " Z") or name == "LATIN SMALL LETTER SCRIPT G"))
+
+
+def same_shape(spark: SparkSession) -> dict[str, str]:
+    """SAME_SHAPE and the letters that the Unicode library's confusables give the shape of one Latin letter of the same case."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # no driver JVM at hand: the fixed values alone
+        return dict(SAME_SHAPE)
+    latin = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+    letters = latin + alphabets()
+    skeletons = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    shape = dict(zip(letters, skeletons, strict=True))
+    owner = {(shape[c], c.isupper()): c for c in latin}
+    found = {c: owner[shape[c], unicodedata.category(c) == "Lu"] for c in alphabets() if (shape[c], unicodedata.category(c) == "Lu") in owner}
+    return {c: to for c, to in found.items() if unicodedata.normalize("NFD", c) == c} | SAME_SHAPE
+
+
+def _one(c: str, same: dict[str, str]) -> str:
     """What ``c`` becomes in a decomposed text."""
     if c.isspace() or unicodedata.category(c) in ("Zs", "Zl", "Zp"):
         return " "
@@ -56,28 +83,45 @@ def _one(c: str) -> str:
     kind, _, target = unicodedata.decomposition(c).partition("> ")
     if not target:
         parts = unicodedata.normalize("NFD", c)
-        return SAME_SHAPE.get(c, c) if parts == c else "".join(_one(p) for p in parts)
+        return same.get(c, c) if parts == c else "".join(_one(p, same) for p in parts)
     if kind in ("<wide", "<narrow") or any(ord(c) in r for r in SAME_CHARACTER) and len(target.split()) == 1:
-        return "".join(_one(chr(int(x, 16))) for x in target.split())
-    return SAME_SHAPE.get(c, c)
+        return "".join(_one(chr(int(x, 16)), same) for x in target.split())
+    return same.get(c, c)
 
 
-@cache
-def mapping() -> list[tuple[str, list[tuple[str, int]]]]:
+_tables: dict[frozenset, list] = {}
+
+
+def mapping(same: dict[str, str] = SAME_SHAPE) -> list[tuple[str, list[tuple[str, int]]]]:
     """(code point, [(code point, combining class)]) of all that change or are combining."""
-    out = []
-    for n in range(sys.maxunicode + 1):
-        c = chr(n)
-        if 0xD800 <= n < 0xE000 or unicodedata.category(c) in ("Cn", "Co"):
-            continue
-        to = _one(c)
-        if to != c or unicodedata.combining(c):
-            out.append((c, [(x, unicodedata.combining(x)) for x in to]))
+    out = _tables.get(frozenset(same.items()))
+    if out is None:
+        out = _tables[frozenset(same.items())] = []
+        for n in range(sys.maxunicode + 1):
+            c = chr(n)
+            if 0xD800 <= n < 0xE000 or unicodedata.category(c) in ("Cn", "Co"):
+                continue
+            to = _one(c, same)
+            if to != c or unicodedata.combining(c):
+                out.append((c, [(x, unicodedata.combining(x)) for x in to]))
     return out
 
 
-def mapping_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(mapping(), "ch string, becomes array<struct<ch: string, class: int>>")
+#: Blocks in which no two code points compose: ASCII, kana, Han.
+PLAIN = [range(0x21, 0x7F), range(0x3041, 0x3097), range(0x30A1, 0x30FB), range(0x4E00, 0xA000)]
+
+
+def unchanged(table: list[tuple]) -> str:
+    """A pattern of texts in which every code point of PLAIN stays as it is; spaces only between others."""
+    mapped = {ord(c) for c, _ in table}
+    ranges: list[list[int]] = []
+    for n in (n for block in PLAIN for n in block if n not in mapped):
+        if ranges and ranges[-1][1] == n - 1:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    kept = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return f"^[{kept}](?:[{kept} ]*[{kept}])?$"
 
 
 def canonical(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -89,12 +133,15 @@ def canonical(texts: DataFrame, column: str = "text") -> DataFrame:
     pieces that keep marks with their bases. One shuffle by number serves both groupings.
     """
     # Rows of code points carry a number instead of their text; the text itself goes with the first one only.
-    known = materialized(texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    spark = texts.sparkSession
+    table = mapping(same_shape(spark))
+    known = materialized(texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("id", F.monotonically_increasing_id()).withColumn("stays", F.col("text").rlike(unchanged(table))))
+    stay, known = known.where("stays").select("text", F.col("text").alias("form")), known.where("not stays").drop("stays")
     cut = F.regexp_extract_all("text", F.lit(r"(?s).{1,%d}[\p{M}\p{Cf}ﾞﾟᅠ-ᇿ]*" % PIECE), F.lit(0))
     pieces = known.repartition("id").select("id", "text", F.posexplode_outer(cut).alias("piece", "part")).withColumn("own", F.when(F.coalesce("piece", F.lit(0)) == 0, F.col("text")))
     points = pieces.select("id", "piece", "own", F.posexplode_outer(F.split(F.coalesce("part", F.lit("")), "")).alias("at", "ch")).withColumn("own", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("own")))
     # The table is built by rule and bounded by the character set.
-    joined = points.join(F.broadcast(mapping_table(texts.sparkSession)), "ch", "left")
+    joined = points.join(F.broadcast(spark.createDataFrame(table, "ch string, becomes array<struct<ch: string, class: int>>")), "ch", "left")
     plain = F.array(F.struct(F.col("ch").alias("ch"), F.lit(0).alias("class")))
     rows = joined.groupBy("id", "piece").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("becomes", plain).alias("becomes")))).alias("rows"), F.max("own").alias("own"))
     flat = F.flatten(F.transform("rows", lambda r: r["becomes"]))
@@ -114,7 +161,7 @@ def canonical(texts: DataFrame, column: str = "text") -> DataFrame:
     ordered = F.when(marks, F.array_join(F.transform(F.array_sort(based), lambda x: x["ch"]), "")).otherwise(F.array_join(F.transform(flat, lambda x: x["ch"]), ""))
     parts = rows.select("id", "piece", "own", ordered.alias("part"))
     whole = parts.groupBy("id").agg(F.max("own").alias("text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"]), "").alias("form"))
-    return whole.select("text", F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.trim("form"), F.lit(False)).alias("form"))
+    return whole.select("text", F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.trim("form"), F.lit(False)).alias("form")).unionByName(stay)
 
 
 def look_alikes(texts: DataFrame, column: str = "text") -> DataFrame:

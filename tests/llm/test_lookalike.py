@@ -27,6 +27,22 @@ def test_pairs(spark):
     assert found[""] == found[" "] == found["​"] == "" and None not in found
 
 
+def test_letters_of_other_alphabets_and_merely_similar_ones(spark):
+    found = forms(spark, ["ν", "v", "ρ", "p", "Ꭺ", "A", "ɡ", "g", "ᴏ", "o", "α", "a", "Ⅴ", "γ", "y", "г", "r", "υ", "u", "ı", "i", "ɑ", "Ν", "n"])
+    assert all(found[a] == found[b] for a, b in ("νv", "ρp", "ᎪA", "ɡg", "ᴏo"))
+    assert all(found[a] != found[b] for a, b in ("αa", "γy", "гr", "υu", "ıi", "ɑa", "Νn"))
+
+
+def test_texts_that_need_no_exploding_are_told_by_the_table(spark):
+    import re
+
+    table = lookalike.mapping(lookalike.same_shape(spark))
+    plain = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), lookalike.unchanged(table)))
+    mapped = {c for c, _ in table}
+    assert all(plain.match(t) for t in ("a", "a b", "かな", "漢字 仮名", "x  y")) and not any(plain.match(t) for t in ("", " a", "a ", "é", "ｱ", "a\u0301", "口", "へ", "각"))
+    assert not any(plain.match(c) for c in mapped)
+
+
 def test_pairs_of_a_set_in_byte_order(spark):
     texts = ["ab", "ａb", "a​b", "ab", None, "other"]
     got = {tuple(r) for r in lookalike.look_alikes(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
@@ -35,9 +51,18 @@ def test_pairs_of_a_set_in_byte_order(spark):
     assert lookalike.look_alikes(spark.createDataFrame([], "text string")).count() == 0
 
 
+#: The shapes of a session, taken once for the comparison below.
+SHAPES = [lookalike.SAME_SHAPE]
+
+
+@pytest.fixture(autouse=True)
+def shapes(spark):
+    SHAPES[0] = lookalike.same_shape(spark)
+
+
 def brute(text):
     """The same form by way of the standard library, one text at a time."""
-    table = {c: "".join(x for x, _ in to) for c, to in lookalike.mapping()}
+    table = {c: "".join(x for x, _ in to) for c, to in lookalike.mapping(SHAPES[0])}
     return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in text)).strip(" ")
 
 
