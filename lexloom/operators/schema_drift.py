@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -60,36 +60,59 @@ def file_order(files: DataFrame) -> DataFrame:
     return names.select("file_name", (F.row_number().over(Window.orderBy(F.regexp_extract("file_name", r"(\d{8})", 1), "file_name")) - 1).alias("pair"))
 
 
-def nodes(value: Any, path: str = "") -> Iterator[tuple[str, str]]:
-    """(path, type) of every key and every list item; lists are marked by [] in a path. Whole numbers are told apart."""
-    if isinstance(value, dict):
-        for key, item in value.items():
-            below = f"{path}.{key}" if path else key
-            yield below, _kind(item)
-            yield from nodes(item, below)
-    elif isinstance(value, list):
-        for item in value:
-            yield f"{path}[]", _kind(item)
-            yield from nodes(item, f"{path}[]")
+class SchemaTree:
+    """The types at each key and list item of all records taken in; a path is spelled out once, not once per value."""
+
+    __slots__ = ("kinds", "below", "items")
+
+    def __init__(self) -> None:
+        self.kinds: dict[str, int] = {}
+        self.below: dict[str, SchemaTree] = {}
+        self.items: SchemaTree | None = None
+
+    def take(self, value: Any) -> None:
+        kind = _KINDS.get(type(value)) or _kind(value)
+        self.kinds[kind] = self.kinds.get(kind, 0) + 1
+        if kind == "object":
+            for key, item in value.items():
+                tree = self.below.get(key)
+                if tree is None:
+                    tree = self.below[key] = SchemaTree()
+                tree.take(item)
+        elif kind == "array" and value:
+            if self.items is None:
+                self.items = SchemaTree()
+            for item in value:
+                self.items.take(item)
+
+    def nodes(self, path: str = "") -> Iterator[tuple[str, str, int]]:
+        """(node, type, n): lists are marked by [] in a node's path. Whole numbers are told apart."""
+        below = [(f"{path}.{key}" if path else key, tree) for key, tree in self.below.items()]
+        for node, tree in below + ([(f"{path}[]", self.items)] if self.items else []):
+            yield from ((node, kind, n) for kind, n in tree.kinds.items())
+            yield from tree.nodes(node)
+
+
+_KINDS = {dict: "object", list: "array", str: "string", bool: "boolean"}
 
 
 def _kind(value: Any) -> str:
-    return "integer" if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63 else json_type(value)
+    return "integer" if isinstance(value, int) and abs(value) < 1 << 63 else json_type(value)
 
 
 def schema_nodes(files: DataFrame) -> DataFrame:
-    """(file_name, node, kind, n): the types at each node of each file's schema, see nodes(). Lines that aren't an object don't count."""
+    """(file_name, node, kind, n): the types at each node of each file's schema, see SchemaTree. Lines that aren't an object don't count."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
+            trees: dict[str, SchemaTree] = defaultdict(SchemaTree)
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 record = loads_object(text)
                 if record is not None:
-                    seen.update((name, node, kind) for node, kind in nodes(record))
-            keys = list(seen)
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([seen[k] for k in keys], pa.int64())], ["file_name", "node", "kind", "n"])
+                    trees[name].take(record)
+            out = [(name, *row) for name, tree in trees.items() for row in tree.nodes()]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["file_name", "node", "kind", "n"])
 
     read = files.select("file_name", "source_json").where("file_name is not null and source_json is not null")
     found = read.mapInArrow(rows, "file_name string, node string, kind string, n long")
