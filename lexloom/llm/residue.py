@@ -352,9 +352,9 @@ INTERFACE = frozenset(
 INTERFACE_WIDE = ("ページ", "サーバー", "エラー", "ブラウザ", "再読み込み", "アクセス", "サイト", "リンク", "ログイン", "페이지", "서버", "오류", "홈", "页面", "服务器", "首页")
 
 
-def of_interface(own: set[str], text: str) -> bool:
+def of_interface(text: str, low: str) -> bool:
     """Whether a text has INTERFACE_WORDS of them outside quotation marks."""
-    if len(INTERFACE & own) + sum(w in text for w in INTERFACE_WIDE) < INTERFACE_WORDS:
+    if sum(w in low for w in INTERFACE) + sum(w in text for w in INTERFACE_WIDE) < INTERFACE_WORDS:
         return False
     bare = _QUOTED.sub(" ", text)
     return len(INTERFACE.intersection(tokens(bare))) + sum(w in bare for w in INTERFACE_WIDE) >= INTERFACE_WORDS
@@ -376,69 +376,98 @@ def masked(unit: str) -> str:
     return _HEX.sub("0", low) if _DIGIT.search(low) else low
 
 
-SUSPECT = "doc_id long, unit int, kind string, triples array<string>, pieces array<string>, quoted boolean"
+SUSPECT = "doc_id long, unit int, kind string, triples array<string>, pieces array<string>, quoted boolean, lines array<binary>, page binary"
+
+
+def lines_of(text: str) -> set[bytes]:
+    """The sentences and lines of a text by their digests, with case and numbers masked."""
+    return {digest(masked(x)) for line in text.split("\n") for x in _CUT.split(_MARKS.sub("", line)) if x.strip()}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per unit that may be residue: its kind, its literals and whether all of it is quoted."""
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_())
+    """One row per unit that may be residue: its kind, its literals and whether all of it is quoted.
+
+    One row of kind lines for each text with an error message or filler, or that may be a page of
+    an interface: its lines, and of the latter its digest.
+    """
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.binary()), pa.binary())
     for batch in batches:
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            hints = suspicious(text)
-            if not hints:
-                continue
-            for i, unit in enumerate(units(text)):
+            plain = " ".join(text.split())
+            low = plain.lower()
+            hints, evident = Hints(plain, low), False
+            for i, unit in enumerate(units(text)) if hints else ():
                 kind, spans = examine(unit, hints)
                 if kind == "plain":
                     continue
+                evident |= kind in ("page", "whole")
                 runs = literals(unit, spans) if kind in ("slot", "weak") else []
                 held = [m.span() for m in _QUOTED.finditer(unit)]
-                out.append((doc, i, kind, sorted(triples(runs)), pieces(runs), any(a <= x and y <= b for a, b in held for x, y in spans)))
+                out.append((doc, i, kind, sorted(triples(runs)), pieces(runs), any(a <= x and y <= b for a, b in held for x, y in spans), None, None))
+            page = digest(plain.casefold()) if of_interface(plain, low) else None
+            if evident or page:
+                out.append((doc, -1, "lines", None, None, None, sorted(lines_of(text)), page))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], [x.split()[0] for x in SUSPECT.split(", ")])
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null"))
+
+
 def suspects(documents: DataFrame) -> DataFrame:
-    read = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return spread(read).mapInArrow(_scan, SUSPECT)
+    return _texts(documents).mapInArrow(_scan, SUSPECT)
 
 
-def _counted(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, n): how often each wanted piece stands in a text; (line, doc_id): each sentence or line of each document by its digest; (page, doc_id): each text that may be a page of an interface by its own."""
-    marks = wanted.mapInPandas(lambda it: (pd.DataFrame({"b": sorted({bucket(t) for t in pdf["triple"]})}, dtype="int64") for pdf in it), "b long")
+def line_bucket(line: bytes) -> int:
+    return int.from_bytes(line[:4], "big") % BUCKETS
+
+
+def _table(rows: DataFrame, number) -> object:
+    """A broadcast table of BUCKETS bits: those of the numbers of the rows' first column. Its size doesn't depend on the data."""
+    marks = rows.mapInPandas(lambda it: (pd.DataFrame({"b": sorted({number(x) for x in pdf.iloc[:, 0]})}, dtype="int64") for pdf in it), "b long")
     found = np.zeros(BUCKETS, dtype=bool)
-    found[[r.b for r in marks.distinct().toLocalIterator()]] = True  # at most BUCKETS numbers, whatever the data
-    flags = documents.sparkSession.sparkContext.broadcast(np.packbits(found).tobytes())
+    found[[r.b for r in marks.distinct().toLocalIterator()]] = True  # at most BUCKETS numbers
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(found).tobytes())
+
+
+def _bits(table: object) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(table.value, dtype=np.uint8)).astype(bool)
+
+
+def _counted(documents: DataFrame, wanted: DataFrame | None, lines: DataFrame) -> DataFrame:
+    """(key, n): how often each wanted piece stands in a text; (line, doc_id): where each wanted sentence or line stands."""
+    flags, held_lines = None if wanted is None else _table(wanted, bucket), _table(lines, line_bucket)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(flags.value, dtype=np.uint8)).astype(bool)
+        bits, line_bits = None if flags is None else _bits(flags), _bits(held_lines)
         numbers = _Numbers()
-        kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+
+        def align(read: list[str], seen: Counter) -> None:
+            array = np.fromiter(map(numbers.__getitem__, read), dtype=np.uint64, count=len(read))
+            for n in (2, 3):
+                seen.update(" ".join(read[i : i + n]) for i in np.flatnonzero(bits[buckets(array, n)]).tolist())
+
         for batch in batches:
             seen: Counter = Counter()
             held: list[tuple] = []
             read: list[str] = []
-
-            def align(read: list[str], seen: Counter) -> None:
-                array = np.fromiter(map(numbers.__getitem__, read), dtype=np.uint64, count=len(read))
-                for n in (2, 3):
-                    seen.update(" ".join(read[i : i + n]) for i in np.flatnonzero(bits[buckets(array, n)]).tolist())
-
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = tokens(text)
-                read += own
+                held += [(None, line, doc, None) for line in lines_of(text) if line_bits[line_bucket(line)]]
+                if flags is None:
+                    continue
+                read += tokens(text)
                 read.append("")  # nothing stands across two texts: no piece has an empty token
                 if len(read) > 200_000:
                     align(read, seen)
                     read = []
-                held += [(None, line, None, doc, None) for line in {digest(masked(x)) for line in text.split("\n") for x in _CUT.split(_MARKS.sub("", line)) if x.strip()}]
-                if of_interface(set(own), text):
-                    held.append((None, None, digest(" ".join(text.casefold().split())), doc, None))
-            align(read, seen)
-            held += [(key, None, None, None, n) for key, n in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], ["key", "line", "page", "doc_id", "n"])
+            if flags is not None:
+                align(read, seen)
+            held += [(key, None, None, n) for key, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], ["key", "line", "doc_id", "n"])
 
-    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInArrow(rows, "key string, line binary, page binary, doc_id long, n long")
+    return _texts(documents).mapInArrow(rows, "key string, line binary, doc_id long, n long")
 
 
 def suspicious(text: str) -> Hints:
@@ -447,23 +476,33 @@ def suspicious(text: str) -> Hints:
     return Hints(plain, plain.lower())
 
 
-def _with_template(held: DataFrame, paged: DataFrame) -> DataFrame:
+def _with_template(documents: DataFrame, held: DataFrame, paged: DataFrame) -> DataFrame:
     """(doc_id) of the documents that have a line of an error template.
 
-    held: (line, doc_id), distinct; paged: (doc_id) of the documents with an error message. What
-    is found is evidence for further lines; each round but the last finds more documents.
+    held: (line, doc_id), where every line of ``paged`` stands; paged: (doc_id) of the documents
+    with an error message. What is found is evidence for further lines: those of newly found
+    documents are counted in all documents by one more pass, until none is found.
     """
-    often = held.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= PAGE_DOCUMENTS)
-    held = materialized(held.join(often, "line"))
-    flagged, n = paged, -1
+    flagged = paged
     while True:
-        seen = held.join(flagged.withColumn("error", F.lit(1)), "doc_id", "left").groupBy("line").agg(F.first("documents").alias("documents"), F.count("error").alias("with_errors"))
-        lines = materialized(seen.where(F.col("with_errors") >= PAGE_SHARE * F.col("documents")).select("line"))
+        sizes = held.groupBy("line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= PAGE_DOCUMENTS)
+        errors = held.join(flagged, "doc_id", "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("with_errors"))
+        lines = sizes.join(errors, "line").where(F.col("with_errors") >= PAGE_SHARE * F.col("documents")).select("line")
         found = materialized(held.join(lines, "line", "left_semi").select("doc_id").distinct())
-        flagged = materialized(paged.union(found).distinct())
-        if (now := flagged.count()) == n:
+        new = materialized(found.join(flagged, "doc_id", "left_anti"))
+        if new.isEmpty():
             return found
-        n = now
+        flagged = materialized(flagged.union(new))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x for text in batch.column(0).to_pylist() for x in lines_of(text)], pa.binary())], ["line"])
+
+        theirs = documents.join(new, "doc_id", "left_semi").select("text").where("text is not null").mapInArrow(rows, "line binary").distinct()
+        further = materialized(theirs.join(held.select("line").distinct(), "line", "left_anti"))
+        if not further.isEmpty():
+            more = _counted(documents, None, further).select("line", "doc_id").distinct()
+            held = materialized(held.union(more.join(further, "line", "left_semi")))
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -477,7 +516,13 @@ def judged(documents: DataFrame) -> DataFrame:
     judging = slots.select("triple").where("triple is not null").distinct()
     held = found.where("kind in ('slot', 'weak')").select(F.explode("pieces").alias("triple")).groupBy("triple").agg(F.count(F.lit(1)).alias("residue"))
     with_residue = materialized(held.join(judging, "triple", "left_semi"))
-    counted = materialized(_counted(documents, with_residue))
+    # Whole pages: what many documents repeat word for word.
+    pages = found.where("page is not null").select("page", "doc_id").distinct()
+    often = pages.groupBy("page").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= PAGE_DOCUMENTS)
+    repeated = materialized(pages.join(often, "page", "left_semi").select("doc_id").distinct())
+    paged = materialized(found.where(F.col("kind").isin("page", "whole")).select("doc_id").union(repeated).distinct())
+    lines = materialized(found.where("kind = 'lines'").join(paged, "doc_id", "left_semi").select(F.explode("lines").alias("line")).distinct())
+    counted = materialized(_counted(documents, with_residue, lines))
     total = counted.where("key is not null").groupBy(F.col("key").alias("triple")).agg(F.sum("n").alias("n"))
     share = with_residue.join(total, "triple").where(F.col("n") >= SEEN).select("triple", (F.col("residue") / F.col("n")).alias("share"))
     per_unit = slots.join(share, "triple", "left").groupBy("doc_id", "unit", "kind").agg(F.percentile("share", 0.5).alias("median"), F.first("quoted").alias("quoted"))
@@ -485,12 +530,9 @@ def judged(documents: DataFrame) -> DataFrame:
     alone = (F.col("kind") == "slot") & ~F.col("quoted")
     left_over = per_unit.where(F.coalesce(F.col("median") < MENTION, alone)).select("doc_id", "unit", F.col("kind").alias("reason"))
     whole = found.where(F.col("kind").isin("page", "whole")).select("doc_id", "unit", F.col("kind").alias("reason"))
-    pages = counted.where("page is not null").select("page", "doc_id").distinct()
-    often = pages.groupBy("page").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= PAGE_DOCUMENTS)
-    repeated = materialized(pages.join(often, "page", "left_semi").select("doc_id").distinct())
     # Lines that come with error messages nearly wherever they stand: the rest of the error pages' template.
-    paged = materialized(found.where(F.col("kind").isin("page", "whole")).select("doc_id").union(repeated).distinct())
-    template = _with_template(counted.where("line is not null").select("line", "doc_id").distinct(), paged)
+    held = materialized(counted.where("line is not null").select("line", "doc_id").distinct().join(lines, "line", "left_semi"))
+    template = _with_template(documents.select("doc_id", "text"), held, paged)
     of_document = lambda rows, reason: rows.select("doc_id", F.lit(-1).alias("unit"), F.lit(reason).alias("reason"))
     return left_over.unionByName(whole).unionByName(of_document(template, "template")).unionByName(of_document(repeated, "repeated"))
 
