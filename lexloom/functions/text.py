@@ -111,29 +111,20 @@ def original_path(sha1_hex: Column) -> Column:
     return F.concat_ws("/", F.lit("originals"), F.substring(sha1_hex, 1, 2), sha1_hex)
 
 
-_ENTITY = re.compile(r"&([^;]{1,9});")
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+_ENTITY = re.compile(rf"&(?:({'|'.join(_NAMED)})|#[xX]([0-9A-Fa-f]{{1,7}})|#([0-9]{{1,8}}));")
 
 
 def decode_entities(text: str) -> str:
-    """Six named entities and numeric ones, once; anything else stays."""
+    """Six named entities and numeric ones, each once; what they give isn't read again, anything else stays."""
 
     def one(m: re.Match) -> str:
-        name = m[1]
-        if name in _NAMED:
-            return _NAMED[name]
-        number = re.fullmatch(r"#(?:[xX]([0-9A-Fa-f]+)|([0-9]+))", name)
-        if not number:
-            return m[0]
-        code = int(number[1], 16) if number[1] else int(number[2])
+        if m[1]:
+            return _NAMED[m[1]]
+        code = int(m[2], 16) if m[2] else int(m[3])
         return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
-    out, at = [], 0
-    while (start := text.find("&", at)) >= 0:
-        m = _ENTITY.match(text, start)
-        out += [text[at:start], one(m) if m and len(m[0]) <= 11 and one(m) != m[0] else "&"]
-        at = m.end() if m and out[-1] != "&" or m and m[1] == "amp" else start + 1
-    return "".join(out) + text[at:]
+    return _ENTITY.sub(one, text)
 
 
 def author_of(markup: str) -> tuple[str, list[str]]:

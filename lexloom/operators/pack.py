@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lexloom.functions import digest
 from lexloom.functions.digest import field, u64
-from lexloom.operators import keys, order
+from lexloom.operators import keys, order, project
 from lexloom.sources import jsonl
 from lexloom.tables import materialized
 
@@ -108,26 +108,39 @@ def identity_errors(identity: DataFrame) -> DataFrame:
 
 
 def build(spark: SparkSession, identity: dict, path: str, out: str, partitions: int = 8) -> dict:
-    """Builds a pack of the records at ``path`` and publishes it at ``out``, which must not exist. Returns the manifest.
+    """Builds a pack of the records at ``path`` and publishes it at ``out``, which must not exist. Returns the manifest."""
+    return build_of(jsonl.lines(spark, path), identity, out, partitions)
 
-    Tables are written beside ``out`` and moved there in one step; nothing stays if it fails.
+
+def revision_of(row: DataFrame) -> str:
+    """The revision that an identity (one row of pack_metadata, digests as hexadecimal text) gives."""
+    columns = {c: F.col(c) for c in row.columns} | {c: F.unhex(F.col(c)) for c in ("compressed_source_sha256", "uncompressed_source_sha256")}
+    return row.select(digest.pack_revision(columns, F.lit(FORMAT_VERSION), *[F.lit(PROFILES[p]) for p in ("unicode", "compression", "routing")])).first()[0]
+
+
+def build_of(scanned: DataFrame, identity: dict, out: str, partitions: int = 8) -> dict:
+    """The same of scanned lines (line_number, byte_offset, source_bytes).
+
+    Tables are written beside ``out`` and moved there in one step; nothing stays if it fails. A
+    record may have at most MAX_UNCOMPRESSED bytes, MAX_COMPRESSED compressed.
     """
+    spark = scanned.sparkSession
     fs, here = _files(spark, out)
     if fs.exists(here(out)):
         raise PackError("Io", f"output exists: {out}")
     staging = f"{out}.staging-{uuid.uuid4().hex}"
     try:
-        selected = materialized(jsonl.select(jsonl.lines(spark, path), identity["corpus_language"]))
+        selected = materialized(jsonl.select(scanned, identity["corpus_language"]))
         wrong = selected.where("error is not null").orderBy("line_number").select("line_number", "byte_offset", "error").first()
         if wrong:
             raise PackError("Malformed", f"line {wrong.line_number} at byte {wrong.byte_offset} {wrong.error}")
         row = spark.createDataFrame([{k: v for k, v in identity.items()}])
-        columns = {c: F.col(c) for c in row.columns}
-        for name in ("compressed_source_sha256", "uncompressed_source_sha256"):
-            columns[name] = F.unhex(F.col(name))
-        revision = row.select(digest.pack_revision(columns, F.lit(FORMAT_VERSION), *[F.lit(PROFILES[p]) for p in ("unicode", "compression", "routing")])).first()[0]
+        revision = revision_of(row)
         made = materialized(entries(selected, revision, identity["target_shard_payload_bytes"]))
         total = made.agg(F.count(F.lit(1)).alias("n"), F.sum("uncompressed_size_bytes").alias("b")).first()
+        large = made.where((F.col("uncompressed_size_bytes") > MAX_UNCOMPRESSED) | (F.col("compressed_size_bytes") > MAX_COMPRESSED)).agg(F.min("line_number").alias("line")).first().line
+        if large is not None:
+            raise PackError("Limit", f"line {large} is larger than a record may be")
         if not total.n:
             raise PackError("Malformed", f"no records of language `{identity['corpus_language']}`")
         frame = framed_record(F.col("selected_ordinal"), F.col("line_number"), F.col("byte_offset"), F.col("source_bytes"))
@@ -166,6 +179,8 @@ def open_pack(spark: SparkSession, path: str, level: str = "open", expected: str
     meta = tables["pack_metadata"].collect()
     if len(meta) != 1 or meta[0].pack_revision != manifest["pack_revision"] or meta[0].pack_id != manifest["pack_id"]:
         raise PackError("Corrupt", "manifest and metadata differ")
+    if revision_of(tables["pack_metadata"].drop("pack_revision")) != manifest["pack_revision"]:
+        raise PackError("Corrupt", "the metadata give another revision")
     if level != "open" and expected is not None and manifest["pack_revision"] != expected:
         raise PackError("Corrupt", "unexpected revision")
     if level == "verify":
@@ -194,8 +209,63 @@ def authenticated(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def resolved(references: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """References with selected_ordinal, shard_ordinal and source_json of their entries, and error.
+
+    references: pack_revision, entry_id and any other columns. error is UnknownEntry for another
+    pack's revision and for an identity that this pack doesn't have; such rows stay. Entries are
+    joined to records by shard and ordinal, so that only the shards that are asked for are read.
+    """
+    revision = F.lit(tables["pack_metadata"].first().pack_revision)
+    known = tables["entries"].select(F.col("entry_id").alias("__id"), "selected_ordinal", "shard_ordinal")
+    found = references.join(known, (F.col("entry_id") == F.col("__id")) & (F.col("pack_revision") == revision), "left")
+    records = tables["records"].select("shard_ordinal", "selected_ordinal", "payload")
+    read = found.join(records, ["shard_ordinal", "selected_ordinal"], "left")
+    return read.select(*references.columns, "selected_ordinal", "shard_ordinal", decompressed("payload").cast("string").alias("source_json"), F.when(F.col("__id").isNull(), "UnknownEntry").alias("error"))
+
+
+def entry(references: DataFrame, tables: dict[str, DataFrame], bounds: project.Bounds = project.DETAIL, target: str | None = None) -> DataFrame:
+    """References with entry (struct, see project.entries) or error: UnknownEntry, or why the record can't be projected."""
+    found = resolved(references, tables).withColumnRenamed("error", "__unknown")
+    made = project.entries(found.where("__unknown is null"), "source_json", bounds, target)
+    unknown = found.where("__unknown is not null").select(*found.columns, F.lit(None).cast(project.ENTRY).alias("entry"), F.col("__unknown").alias("error"))
+    return made.unionByName(unknown).drop("__unknown", "source_json")
+
+
+def section_page(references: DataFrame, tables: dict[str, DataFrame], kind: str, offset: int, limit: int, sense: int | None = None, target: str | None = None) -> DataFrame:
+    """(pack_revision, entry_id, total, page, error): one page of a section of each referred entry, see project.section."""
+    found = resolved(references.select("pack_revision", "entry_id"), tables).withColumn("key", F.concat_ws(" ", "pack_revision", F.hex("entry_id")))
+    made = project.section(found.where("error is null"), "key", "source_json", kind, offset, limit, sense, target)
+    unknown = found.where("error is not null").select("key", F.lit(None).cast("long").alias("total"), F.lit(None).cast("string").alias("page"), "error")
+    parts = F.split("key", " ")
+    return made.unionByName(unknown).select(parts[0].alias("pack_revision"), F.unhex(parts[1]).alias("entry_id"), "total", "page", "error")
+
+
+def record_at(tables: dict[str, DataFrame], shard: int, ordinal: int) -> DataFrame:
+    """The record of one ordinal in one shard: one partition is read."""
+    return tables["records"].where((F.col("shard_ordinal") == shard) & (F.col("selected_ordinal") == ordinal)).withColumn("source_bytes", decompressed("payload")).drop("payload")
+
+
+#: The columns that each table of a pack must have, no more and no fewer.
+SCHEMAS = {
+    "entries": "selected_ordinal shard_ordinal entry_id line_number byte_offset authored_headword language_code uncompressed_size_bytes compressed_size_bytes record_sha256",
+    "records": "selected_ordinal shard_ordinal entry_id line_number byte_offset authored_headword language_code uncompressed_size_bytes compressed_size_bytes record_sha256 payload",
+    "lookup_keys": "match_class key selected_ordinal authored_key_ordinal",
+    "data_shards": "shard_ordinal record_count first_ordinal last_ordinal uncompressed_bytes compressed_bytes foreign_records digest",
+}
+
+
+def schema_errors(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(table, column, missing or surplus) of tables whose columns aren't those of a pack."""
+    out = []
+    for name, columns in SCHEMAS.items():
+        have, want = set(tables[name].columns), set(columns.split())
+        out += [(name, c, "missing") for c in sorted(want - have)] + [(name, c, "surplus") for c in sorted(have - want)]
+    return out
+
+
 def checks(tables: dict[str, DataFrame], manifest: dict) -> DataFrame:
-    """(check, n_bad): every rule a pack must satisfy and how often it is broken."""
+    """(check, n_bad): every rule a pack must satisfy and how often it is broken. Every record is projected, and every shard's digest derived anew."""
     language = tables["pack_metadata"].first().corpus_language
     facts = materialized(authenticated(tables))
     bad = lambda c: facts.agg(F.count_if(~F.coalesce(F.col(c), F.lit(False))).alias("n_bad")).select(F.lit(c).alias("check"), "n_bad")
@@ -210,8 +280,16 @@ def checks(tables: dict[str, DataFrame], manifest: dict) -> DataFrame:
     stored = tables["data_shards"].select("shard_ordinal", "record_count", "first_ordinal", "last_ordinal", "uncompressed_bytes", "compressed_bytes")
     counted = routes.select(*stored.columns)
     count = tables["entries"].agg((F.count(F.lit(1)) != manifest["record_count"]).cast("long").alias("n_bad")).select(F.lit("record_count").alias("check"), "n_bad")
+    numbers = ["line_number", "byte_offset"]
+    placed = facts.select("selected_ordinal", "source_bytes").join(tables["entries"].select("selected_ordinal", "shard_ordinal", *numbers), "selected_ordinal")
+    frame = framed_record(F.col("selected_ordinal"), F.col("line_number"), F.col("byte_offset"), F.coalesce("source_bytes", F.lit(b"")))
+    derived = order.stream_digests(placed, ["shard_ordinal"], "selected_ordinal", digest.SHARD_RECORDS, frame).select("shard_ordinal", "digest")
+    readable = project.entries(facts.select("selected_ordinal", F.col("source_bytes").cast("string").alias("source_json")), "source_json", project.EXHAUSTIVE)
     return (
-        found.unionByName(one("keys", keys.differences(expected, tables["lookup_keys"], columns)))
+        found.unionByName(one("projection", readable.where("error is not null")))
+        .unionByName(one("shard_digests", keys.differences(derived, tables["data_shards"], ["shard_ordinal", "digest"])))
+        .unionByName(tables["entries"].sparkSession.createDataFrame([("schema", len(schema_errors(tables)))], "check string, n_bad long"))
+        .unionByName(one("keys", keys.differences(expected, tables["lookup_keys"], columns)))
         .unionByName(one("orphan_keys", keys.orphans(tables["lookup_keys"], tables["entries"], "selected_ordinal")))
         .unionByName(one("shard_order", routes.where("not contiguous or foreign_records > 0")))
         .unionByName(one("shard_totals", keys.differences(counted, stored, stored.columns)))

@@ -81,6 +81,8 @@ def test_author_markup():
     assert text.author_of('<a href="//x.example/a?b&amp;c" title="t">A &lt;B&gt;</a><br>line   two <b>x') == ("A <B>\nline two x", ["https://x.example/a?b&c"])
     assert text.author_of("a < b") == ("a", [])
     assert text.author_of('<p>x</p><a href=http://y>y</a><a href="http://y">z</a><a href="/rel">w</a>') == ("x\nyzw", ["http://y"])
+    assert text.decode_entities("?a=1&#38;b=2&#x26;c=3&#38;lt;&amp;#38;&#xD800;&#9999999;&#x110000;") == "?a=1&b=2&c=3&lt;&#38;&#xD800;&#9999999;&#x110000;"
+    assert text.author_of('<a href="https://x.example/?a=1&#38;b=2">A &#38; B</a>') == ("A & B", ["https://x.example/?a=1&b=2"])
     assert text.decode_entities("&amp;lt; &#x41;&#66; &bogus; &#39;&nbsp;|& ;") == "&lt; AB &bogus; ' |& ;"
 
 
