@@ -6,13 +6,16 @@ so that a sequence directly follows all its extensions. A stack with one level p
 holds the counts and record sets of the open prefixes; a level is closed when the common
 prefix gets shorter, and adds itself to the level below.
 
-A first term that a third of all records share is split by a salt taken from the record.
-Salts hold disjoint records, so both counts add up exactly; a record set holds one salt's
-records only. Equal suffixes of one record are combined before they are sent.
+A first term with more than HOT rows, which a third of all records may share, is split by a salt
+taken from the record, into parts of about HOT rows; all others go whole. Salts hold disjoint
+records, so both counts add up exactly, and a record set never holds more than one part. Equal
+suffixes of one record are combined before they are sent, so a suffix without extensions needs
+no record set: its rows are its records.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,32 +23,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.strict_json import items, loads_object
+from lexloom.tables import materialized, one_per_key
 
 #: A term is rare in at most this many records, common in more than this share of all records.
 RARE_RECORDS = 2
 COMMON_SHARE = 0.25
+#: Rows of one first term that go to one task.
+HOT = 1 << 20
 COUNTED = "field_name string, gram array<string>, occurrences long, records long"
 
 
-def _close(level: list, out: list, field: str, path: list[str]) -> None:
-    out.append((field, list(path), level[0], len(level[1])))
-
-
 def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (field, suffix, record, n) sorted by field and reverse suffix order, to counts of all prefixes."""
     path: list[str] = []
-    levels: list[list] = []  # [occurrences, record set] of path[: i + 1]
+    levels: list[list] = []  # of path[: i + 1]: occurrences, records, and their set once an extension has been closed
     field: str | None = None
     out: list[tuple] = []
 
     def pop_to(depth: int) -> None:
         while len(path) > depth:
-            level = levels.pop()
-            _close(level, out, field, path)
+            occurrences, records, held = levels.pop()
+            out.append((field, list(path), occurrences, len(held) if held is not None else len(records)))
             path.pop()
             if levels:
-                levels[-1][0] += level[0]
-                levels[-1][1] |= level[1]
+                below = levels[-1]
+                below[0] += occurrences
+                if below[2] is None:
+                    below[2] = set(below[1])
+                below[2].update(records if held is None else held)
 
     def flush() -> pa.RecordBatch:
         columns = [[r[i] for r in out] for i in range(4)]
@@ -65,36 +70,39 @@ def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             field = name
             for term in suffix[common:]:
                 path.append(term)
-                levels.append([0, set()])
-            levels[-1][0] += n
-            levels[-1][1].add(record)
+                levels.append([0, array("q"), None])
+            last = levels[-1]
+            last[0] += n
+            if last[2] is None:
+                last[1].append(record)  # rows are combined by record: each is another one
+            else:
+                last[2].add(record)
         if len(out) > 10_000:
             yield flush()
     pop_to(0)
     yield flush()
 
 
-def gram_counts(sequences: DataFrame, longest: int = 1, salts: int | None = None) -> DataFrame:
+def gram_counts(sequences: DataFrame, longest: int = 1, hot: int = HOT) -> DataFrame:
     """(field_name, gram, occurrences, records) for every sequence of up to ``longest`` terms.
 
     sequences: field_name, record (long), terms (array of strings). occurrences counts every
     place, records distinct values of ``record``. Null terms cut a sequence in two; null or
     empty sequences and an empty table give no rows. Terms are compared exactly as written.
-    salts: how many ways each first term is split, by default the shuffle partitions.
+    hot: first terms with more rows are split into parts of about so many.
     """
     spark = sequences.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = salts or parts
     at = sequences.where("field_name is not null and record is not null and terms is not null").select("field_name", "record", "terms", F.posexplode("terms").alias("at", "first")).where("first is not null")
     window = F.slice("terms", F.col("at") + 1, longest)
     gap = F.array_position(F.transform(window, lambda t: t.isNull()), True)
     suffix = F.when(gap > 0, F.slice(window, 1, (gap - 1).cast("int"))).otherwise(window)
-    combined = at.select("field_name", suffix.alias("suffix"), "record").groupBy("field_name", "suffix", "record").agg(F.count(F.lit(1)).alias("n"))
-    routed = (
-        combined.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
-        .repartition(parts, "field_name", F.col("suffix")[0], "salt")
-        .sortWithinPartitions(F.col("field_name"), "salt", F.desc("suffix"), "record")
-    )
+    combined = materialized(at.select("field_name", suffix.alias("suffix"), "record").groupBy("field_name", "suffix", "record").agg(F.count(F.lit(1)).alias("n")))
+    first = F.col("suffix")[0]
+    split = combined.groupBy("field_name", first.alias("first")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot)
+    split = split.select("field_name", "first", F.ceil(F.col("rows") / hot).alias("salts"))
+    salted = combined.withColumn("first", first).join(split, ["field_name", "first"], "left").withColumn("salt", F.pmod(F.xxhash64("record"), F.coalesce("salts", F.lit(1))))
+    routed = salted.repartition(parts, "field_name", "first", "salt").sortWithinPartitions(F.col("field_name"), "salt", F.desc("suffix"), "record")
     # A salt ends with its own pops: the field handed to the stack carries it.
     tagged = routed.select(F.concat_ws("\x00", "field_name", F.col("salt").cast("string")).alias("field"), "suffix", "record", "n")
     counted = tagged.mapInArrow(_stack_counts, COUNTED)
@@ -104,7 +112,7 @@ def gram_counts(sequences: DataFrame, longest: int = 1, salts: int | None = None
 def record_terms(lines: DataFrame) -> DataFrame:
     """(record, field_name, position, terms) of the lines that are JSON objects; one row with field_name '' marks each record.
 
-    Lines with one number are one record and are read once, whatever is loaded again. Fields
+    Lines with one number are one record: the newest content, if there is loaded_at. Fields
     that aren't lists and items that aren't strings are passed over.
     """
 
@@ -127,8 +135,10 @@ def record_terms(lines: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["record", "field_name", "position", "terms"])
 
-    read = lines.select("source_line_number", "source_json").where("source_line_number is not null and source_json is not null")
-    return read.mapInArrow(rows, "record long, field_name string, position int, terms array<string>").dropDuplicates(["record", "field_name", "position"])
+    order = [c for c in ("loaded_at",) if c in lines.columns]
+    read = lines.select("source_line_number", "source_json", *order).where("source_line_number is not null and source_json is not null")
+    once = one_per_key(read, "source_line_number", order).select("source_line_number", "source_json")
+    return once.mapInArrow(rows, "record long, field_name string, position int, terms array<string>")
 
 
 def marked(counts: DataFrame, records: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ def brute(rows, longest):
     return {(k, n, len(records[k])) for k, n in counts.items()}
 
 
-@pytest.mark.parametrize("longest,salts", [(1, None), (2, 1), (3, 5), (4, 3)])
-def test_against_counting(spark, longest, salts):
+@pytest.mark.parametrize("longest,hot", [(1, terms.HOT), (2, 1), (3, 5), (4, 300)])
+def test_against_counting(spark, longest, hot):
     rng = random.Random(longest)
     rows = [(rng.choice(["f", "g", None]), rng.choice([*range(20), None]), rng.choice([None, [], [rng.choice(["hot", "hot", "a", "b", "", None]) for _ in range(rng.randrange(6))]]), "x", 1) for _ in range(400)]
     rows += rows[:30]
-    found = terms.gram_counts(spark.createDataFrame(rows, SEQUENCES), longest, salts).collect()
+    found = terms.gram_counts(spark.createDataFrame(rows, SEQUENCES), longest, hot).collect()
     assert {((r.field_name, tuple(r.gram)), r.occurrences, r.records) for r in found} == brute(rows, longest)
     assert len(found) == len(brute(rows, longest))
 
