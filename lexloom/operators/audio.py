@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import digest, text
-from lexloom.operators.order import stream_digests
-from lexloom.tables import broadcast_if_small
+from lexloom.operators.order import dense_ordinals, stream_digests
+from lexloom.tables import broadcast_if_small, files
 
 #: Bounds of what is served, and how many redirects a title may take.
 MAX_RECORDING_BYTES, MAX_SOURCE_SECONDS, MAX_ALIASES = 1024 * 1024, 60, 4
@@ -45,8 +46,7 @@ def with_authors(recordings: DataFrame, authors: DataFrame) -> DataFrame:
 def dictionary(rows: DataFrame, columns: list[str], ordinal: str) -> DataFrame:
     """Distinct values with dense ordinals from 0, in order; rows that are null in all columns are left out."""
     kept = rows.select(*columns).where(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()).distinct()
-    # One row per distinct licence or author: a vocabulary.
-    return kept.withColumn(ordinal, (F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in columns])) - 1).cast("int"))
+    return dense_ordinals(kept, [F.col(c).asc_nulls_first() for c in columns], ordinal).withColumn(ordinal, F.col(ordinal).cast("int"))
 
 
 def encoded(rows: DataFrame, words: DataFrame, columns: list[str], ordinal: str) -> DataFrame:
@@ -81,8 +81,8 @@ def resolve_aliases(titles: DataFrame, aliases: DataFrame, hops: int = MAX_ALIAS
 
 
 def chunked(blobs: DataFrame, chunks: int) -> DataFrame:
-    """One row per chunk and content. blobs: file_name, sha256, size_bytes; the same content counts once in a chunk."""
-    return blobs.withColumn("chunk", digest.chunk_for(F.col("file_name"), chunks)).where("sha256 is not null").dropDuplicates(["chunk", "sha256"]).select("chunk", "sha256", "size_bytes")
+    """One row per chunk and content. blobs: file_name, sha256, size_bytes; the same content counts once in a chunk, with the largest size given."""
+    return blobs.withColumn("chunk", digest.chunk_for(F.col("file_name"), chunks)).where("sha256 is not null").groupBy("chunk", "sha256").agg(F.max("size_bytes").alias("size_bytes"))
 
 
 def chunk_totals(distinct_blobs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ COLLECTION = ["recordings", "licenses", "authors", "chunks", "collection"]
 
 
 def build_collection(recordings: DataFrame, out: str, meta: dict[str, str], chunks: int) -> str:
-    """Writes a collection's tables at ``out``, which must not exist, and returns its revision.
+    """Writes a collection's tables at ``out``, which must not exist, and returns its revision. Tables are moved there in one step; nothing stays if it fails.
 
     recordings: file_name (distinct), status, reason, reference_count, source_title, source_sha1, source_timestamp,
     source_media_type, source_size_bytes, description_url, license_short_name, license_identifier, license_url,
@@ -169,6 +169,21 @@ def build_collection(recordings: DataFrame, out: str, meta: dict[str, str], chun
     corpus_language, source_corpus_pack_id, source_corpus_revision, acquired_at, delivery,
     builder_revision, minimum_app_version, encoder_profile, format_version.
     """
+    fs, here = files(recordings.sparkSession, out)
+    if fs.exists(here(out)):
+        raise FileExistsError(out)
+    staging = f"{out}.staging-{uuid.uuid4().hex}"
+    try:
+        revision = _write_collection(recordings, staging, meta, chunks)
+        if not fs.rename(here(staging), here(out)):
+            raise OSError(f"could not publish {out}")
+        return revision
+    finally:
+        if fs.exists(here(staging)):
+            fs.delete(here(staging), True)
+
+
+def _write_collection(recordings: DataFrame, out: str, meta: dict[str, str], chunks: int) -> str:
     spark = recordings.sparkSession
     licence, author = ["license_short_name", "license_identifier", "license_url"], ["author_text", "author_urls_json"]
     rows = recordings.withColumn("author_text", F.nullif("author_text", F.lit(""))).withColumn("chunk", digest.chunk_for(F.col("file_name"), chunks)).withColumn("all", F.lit(0))
@@ -210,13 +225,30 @@ def collection_errors(tables: dict[str, DataFrame]) -> DataFrame:
         .unionByName(one("license", rows.where("license_ordinal is not null and coalesce(license_short_name, license_identifier, license_url) is null")))
         .unionByName(one("author", rows.where("author_ordinal is not null and coalesce(author_text, cast(author_urls as string)) is null")))
         .unionByName(one("chunk_totals", counted.exceptAll(tables["chunks"].select(*counted.columns)).unionByName(tables["chunks"].select(*counted.columns).exceptAll(counted))))
+        .unionByName(one("digest", rows.where("(blob_sha256 is not null and not rlike(blob_sha256, '^([0-9a-f]{2})+$')) or (status = 1) <> (blob_sha256 is not null)")))
+        .unionByName(one("size", rows.where((F.col("blob_size_bytes") > MAX_RECORDING_BYTES) | (F.col("blob_size_bytes") <= 0))))
+        .unionByName(one("delivery", tables["collection"].where("coalesce(delivery, '') not in ('remote', 'bundled')")))
         .unionByName(one("repeated_names", rows.groupBy("file_name").count().where("count > 1")))
     )
 
 
+def reference_lines(references_found: DataFrame) -> Iterator[str]:
+    """The references as JSON, a line at a time: names with counts and invalid values with counts, both in byte order. Sorted by the executors; the driver holds one partition."""
+    yield '{\n  "schema_version": 1'
+    for name, column in (("files", "file_name"), ("invalid", "authored")):
+        yield f',\n  "{name}": ['
+        rows = references_found.where(F.col(column).isNotNull() if name == "files" else F.col("file_name").isNull()).orderBy(F.col(column).cast("binary")).select(column, "n")
+        for i, r in enumerate(rows.toLocalIterator()):
+            yield f"{',' * (i > 0)}\n    {json.dumps([r[0], r.n], ensure_ascii=False)}"
+        yield "\n  ]"
+    yield "\n}\n"
+
+
 def reference_set(references_found: DataFrame) -> str:
-    """The references as JSON: names with counts and invalid values with counts, both in byte order. One row per distinct name: a report for one place."""
-    rows = references_found.collect()
-    valid = sorted(((r.file_name, r.n) for r in rows if r.file_name is not None), key=lambda x: x[0].encode())
-    invalid = sorted(((r.authored, r.n) for r in rows if r.file_name is None), key=lambda x: x[0].encode())
-    return json.dumps({"schema_version": 1, "files": valid, "invalid": invalid}, ensure_ascii=False, indent=2) + "\n"
+    """The whole of reference_lines, for sets that fit in one text."""
+    return "".join(reference_lines(references_found))
+
+
+def write_reference_set(references_found: DataFrame, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as out:
+        out.writelines(reference_lines(references_found))

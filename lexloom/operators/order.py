@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.tables import materialized
+
 #: Order keys in one bucket of a prefix sum.
 BUCKET = 1 << 16
 
@@ -29,6 +31,20 @@ def prefix_sum(rows: DataFrame, group: list[str], order: str, value: Column, nam
     return local.join(starts, [*group, "__b"]).withColumn(name, F.col("__s") + F.col("__l")).drop("__v", "__b", "__s", "__l")
 
 
+def dense_ordinals(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place (from 0) in the order of all rows: sorted by ranges, then the rows of all ranges before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # An id holds the partition in its upper and the place within it in its lower 33 bits.
+    sorted_ = materialized(local.withColumn("__id", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = sorted_.withColumn("__part", part).join(F.broadcast(starts), "__part")  # at most as many rows as partitions
+    return placed.withColumn(name, F.col("__start") + at).drop("__id", "__part", "__start")
+
+
 def greedy_shards(rows: DataFrame, group: str, order: str, size: str, target: int) -> DataFrame:
     """(group, order, shard): a shard is closed before the record that would take it beyond ``target``, unless it is empty."""
 

@@ -15,7 +15,7 @@ from lexloom.functions import digest
 from lexloom.functions.digest import field, u64
 from lexloom.operators import keys, order, project
 from lexloom.sources import jsonl
-from lexloom.tables import materialized
+from lexloom.tables import files, materialized
 
 #: The compression level of a record, versions, and bounds of assets.
 ZSTD_LEVEL, FORMAT_VERSION, MANIFEST_VERSION, MAX_ASSETS, MAX_ASSET_BYTES = 6, 1, 1, 256, 1_900_000_000
@@ -125,7 +125,7 @@ def build_of(scanned: DataFrame, identity: dict, out: str, partitions: int = 8)
     record may have at most MAX_UNCOMPRESSED bytes, MAX_COMPRESSED compressed.
     """
     spark = scanned.sparkSession
-    fs, here = _files(spark, out)
+    fs, here = files(spark, out)
     if fs.exists(here(out)):
         raise PackError("Io", f"output exists: {out}")
     staging = f"{out}.staging-{uuid.uuid4().hex}"
@@ -166,12 +166,6 @@ def build_of(scanned: DataFrame, identity: dict, out: str, partitions: int = 8)
             fs.delete(here(staging), True)
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    here = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    return here(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), here
-
-
 def open_pack(spark: SparkSession, path: str, level: str = "open", expected: str | None = None) -> dict[str, DataFrame]:
     """The tables of a pack. level: open (manifest agrees with metadata), installed (and with ``expected``) or verify (every check of ``checks``)."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("entries", "records", "lookup_keys", "data_shards", "pack_metadata")}

@@ -327,16 +327,11 @@ def r_entries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def r_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """The first page of each record's forms."""
-    return project.section(objects(spark, sf), "line_number", "source_json", "forms", 0, 16)
-
-
 NAMES = [
     r_lookup, r_lookup_keys, r_key_differences, r_orphan_keys, r_lookup_records, r_view_outcomes, r_view_order, r_snapshot_revision, r_selected_records, r_source_errors, r_source_offsets, r_record_digests, r_entry_ids,
     r_stream_digests, r_greedy_shards, r_shard_stats, r_shard_routes, r_pack_totals, r_pack_predicates, r_identity_errors, r_pack_revisions, r_repeated_packs, r_recordings_authors, r_unknown_authors, r_licence_dictionary,
     r_recordings_encoded, r_media_counts, r_chunk_routing, r_chunk_totals, r_description_urls, r_audio_references, r_author_texts, r_facts_digests, r_input_digests, r_compact_facts, r_keyset_page, r_bounded_texts,
-    r_translation_windows, r_translation_totals, r_relation_groups, r_descendants, r_entries, r_sections,
+    r_translation_windows, r_translation_totals, r_relation_groups, r_descendants, r_entries,
 ]
 
 
@@ -417,6 +412,9 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT query, count(*) AS n_matches, sum(en) AS en, sum(fr) AS fr FROM hits LEFT JOIN (SELECT DISTINCT selected_ordinal, source_line_number FROM recs) USING (selected_ordinal) LEFT JOIN n ON n.line_number = source_line_number GROUP BY 1),
             w AS (SELECT a.query, coalesce(n_matches, 0) AS n_matches, coalesce(en, 0) AS en, coalesce(fr, 0) AS fr FROM (SELECT DISTINCT headword AS query FROM documents WHERE headword IS NOT NULL) a LEFT JOIN m USING (query))
             {outcome} (SELECT query, n_matches, NULL AS t, 0 AS n FROM w UNION ALL SELECT query, n_matches, 'en', en FROM w UNION ALL SELECT query, n_matches, 'fr', fr FROM w)""",
+        "r_author_texts": """WITH a AS (SELECT DISTINCT extmetadata.artist AS artist FROM commons_fixtures WHERE extmetadata.artist IS NOT NULL),
+            x AS (SELECT artist, regexp_replace(artist, '<[^>]*>', '', 'g') AS t, list_distinct(list_filter(list_transform(regexp_extract_all(artist, 'href="([^"]*)"', 1), lambda u: replace(CASE WHEN starts_with(u, '//') THEN 'https:' || u ELSE u END, '&amp;', '&')), lambda u: regexp_matches(u, '^https?://'))) AS urls FROM a)
+            SELECT artist, nullif(trim(regexp_replace(replace(replace(replace(t, '&nbsp;', ' '), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS author_text, to_json(urls)::VARCHAR AS author_urls_json FROM x""",
         "r_view_order": "SELECT language, (row_number() OVER (ORDER BY language <> 'ja', language))::INT AS place FROM (SELECT DISTINCT corpus_language AS language FROM pack_metadata)",
         "r_snapshot_revision": f"WITH n AS (SELECT pack_id, arg_max(pack_revision, kaikki_extraction_date || pack_revision) AS pack_revision FROM pack_metadata GROUP BY 1) SELECT sha256({_f(chr(39) + digest.SNAPSHOT + chr(39))} || {_f(_u64('count(*)'), True)} || unhex({views})) AS revision, count(*)::INT AS n_views FROM n",
         "r_selected_records": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY line_number) - 1 AS selected_ordinal, line_number, byte_offset, json_extract_string(j, '$.word') AS word, len(list_filter(coalesce(json_extract_string(j, '$.forms[*].form'), []), lambda x: x <> '' AND x <> '-'))::INT AS n_forms, sha256(source_json) AS record_sha256, strlen(source_json)::INT AS n_bytes FROM ja",

@@ -17,15 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hints a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+#: A side that is broadcast has at most so many bytes as it is written (compressed columns).
+BROADCAST_BYTES = 16 << 20
 
-    Beyond the bound the frame is returned without a hint, and the join shuffles.
-    The count stops after ``max_rows + 1`` rows.
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hints a broadcast only after ``df``, evaluated once and written, has been found to have at most ``max_bytes``.
+
+    Beyond the bound the written table is returned without a hint, and the join shuffles.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    written, path = _written(df)
+    fs, here = files(df.sparkSession, path)
+    return F.broadcast(written) if fs.getContentSummary(here(path)).getLength() <= max_bytes else written
+
+
+def files(spark: SparkSession, path: str):
+    """(file system, path maker) for a path, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    here = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return here(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), here
 
 
 _reachable: set[str] = set()
@@ -86,9 +96,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut and survives lost executors."""
+_intermediate: list[tuple[SparkSession, str]] = []
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
+    _intermediate.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut and survives lost executors. See release()."""
+    return _written(df)[0]
+
+
+def release() -> None:
+    """Deletes all intermediate tables written so far; results that still read them must have been written before. Runs when the driver ends."""
+    while _intermediate:
+        spark, path = _intermediate.pop()
+        try:
+            fs, here = files(spark, path)
+            fs.delete(here(path), True)
+        except Exception:  # the session or its file system may be gone already  # noqa: BLE001
+            shutil.rmtree(path, ignore_errors=True)
+
+
+atexit.register(release)

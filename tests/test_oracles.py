@@ -2,10 +2,10 @@ import os
 
 import pytest
 
-from lexloom.plans import core_problems, reference
+from lexloom.plans import collections, core_problems, packs, reference
 from tests.oracle import DATA, same
 
-CASES = [(name, m.queries()[name], sql) for m in (reference, core_problems) for name, sql in m.oracle_sql().items()]
+CASES = [(name, m.queries()[name], sql) for m in (reference, packs, collections, core_problems) for name, sql in m.oracle_sql().items()]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
