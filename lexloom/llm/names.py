@@ -122,7 +122,7 @@ CORRECTED = 5
 #: Two misspellings with equally little support link only if both have as many letters: shorter words are near each other by chance.
 LONG = 8
 
-READING = "text string, shown string, kind string, given string, initial string, surname string, place string, body string, initials array<string>, bonus int, sure boolean"
+READING = "text string, shown string, kind string, given string, initial string, surname string, place string, body string, initials array<string>, bonus int, sure boolean, alternative string"
 
 
 def fold(text: str) -> str:
@@ -138,12 +138,6 @@ def particle(token: str) -> bool:
     return token in PARTICLES or 2 <= len(token) <= 4 and any(without_one(token) & without_one(p) for p in ("von", "van", "de") if abs(len(p) - len(token)) < 2)
 
 
-def unprefixed(surname: str) -> str:
-    """Without a particle of three letters written together with it; a shorter one is too often just how a name begins."""
-    found = next((p for p in sorted(PARTICLES) if len(p) == 3 and surname.startswith(p) and len(surname) - len(p) >= 4), "")
-    return surname[len(found) :]
-
-
 def single_vowels(token: str) -> str:
     """Both ways to write an umlaut become one; given names that are known stay."""
     return token if token in GIVEN else token.replace("ae", "a").replace("oe", "o").replace("ue", "u")
@@ -222,7 +216,7 @@ def readings(text: str | None) -> list[tuple]:
     def person(given: str, rest: list[str], bonus: int, sure: bool | None = False) -> list[tuple]:
         given = single_vowels(given) if single_vowels(given) in GIVEN else given
         rest = [single_vowels(t) for t in rest]
-        surname = unprefixed("".join(t for t in rest if not particle(t)) or "".join(rest))
+        surname = "".join(t for t in rest if not particle(t)) or "".join(rest)
         if not surname or not given:
             return []
         if len(given) == 1:
@@ -234,9 +228,9 @@ def readings(text: str | None) -> list[tuple]:
     if handle:
         first, last = fold(handle[1]), fold(handle[2])
         givens = {first} | ({first[:-1]} if first not in GIVEN and len(first) > 2 else set())
-        lasts = {last} | {last[len(p) :] for p in PARTICLES if last.startswith(p) and len(last) - len(p) >= 4}
-        # None: an initial beside a surname that may begin with a particle isn't the only way to read it.
-        return [x for g in givens for s in lasts for x in person(g, [s], 5 * (s == last), None)]
+        # A particle may be written together with the surname; which it is shows when surnames are corrected.
+        bare = next((last[len(p) :] for p in sorted(PARTICLES, key=len, reverse=True) if last.startswith(p) and len(last) - len(p) >= 4), None)
+        return [(*x, bare) for g in givens for x in person(g, [last], 0, None)]
     if "," in shown:
         head, _, tail = shown.partition(",")
         first = [t for t in map(fold, words(tail)) if t not in TITLES]
@@ -259,10 +253,10 @@ def readings(text: str | None) -> list[tuple]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.bool_())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.string())
     names = [x.split()[0] for x in READING.split(", ")]
     for batch in batches:
-        out = [(text, fold(visible(text)), *reading) for text in batch.column(0).to_pylist() for reading in readings(text)]
+        out = [(text, fold(visible(text)), *reading, *[None] * (9 - len(reading) + 1)) for text in batch.column(0).to_pylist() for reading in readings(text)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
 
@@ -290,7 +284,8 @@ def corrections(tokens: DataFrame, known: set[str] = frozenset(), left_out: int
 
     * A token of ``known`` (a fixed vocabulary) stays as it is and takes others in.
     * A token that two or more others stand with is a name of its own, unless the hub has over ten
-      times as many; so are Hernandez and Fernandez, Marta and Maria.
+      times as many or stands with all of them too: relatives may share a misspelling, but one family
+      more or less has its own given names. So Hernandez and Fernandez, Marta and Maria stay apart.
     * The hub must have at least twice the support, thrice for tokens under LONG letters and ten
       times for a token with three spellings or more, or without ``ties`` (given names).
     * With ``ties``, two tokens of at most two spellings each also link if both have LONG letters
@@ -306,14 +301,17 @@ def corrections(tokens: DataFrame, known: set[str] = frozenset(), left_out: int
     best = F.max(F.struct("known", "support", "others", "token")).over(Window.partitionBy("group", "form"))
     each = tokens.withColumn("form", F.explode(forms)).withColumn("best", best)
     both_long = (F.length(token) >= LONG) & (F.length(hub) >= LONG)
-    own = (F.col("others") >= 2) & (F.col("others") * 10 > F.col("best.others"))
     need = F.when((F.col("support") > 2) | F.lit(not ties), 10).when(both_long, 2).otherwise(3)
     first = lambda c, at: F.substring(c, at, 3)
     pair = lambda c: F.array_sort(F.split(F.substring(c, 1, 2), ""))
     begin_alike = (F.substring(token, 1, 1) == F.substring(hub, 1, 1)) | (pair(token) == pair(hub)) | (first(token, 2) == first(hub, 1)) | (first(token, 1) == first(hub, 2))
     tied = F.lit(ties) & both_long & begin_alike & (F.col("support") <= 2)
-    gives_way = ~F.col("known") & (hub != token) & ~own & (F.col("best.known") | (F.col("best.support") >= need * F.col("support")) | tied)
-    met = each.groupBy("group", "token").agg(F.max(F.when(gives_way, F.col("best"))).alias("best"), F.max("support").alias("support"))
+    gives_way = ~F.col("known") & (hub != token) & (F.col("best.known") | (F.col("best.support") >= need * F.col("support")) | tied)
+    met = each.groupBy("group", "token").agg(F.max(F.when(gives_way, F.col("best"))).alias("best"), F.max("support").alias("support"), F.max("others").alias("others"))
+    # In how many groups a token has a hub; where it has none it stands alone.
+    alone = F.col("others") - F.count("best").over(Window.partitionBy("token"))
+    own = (F.col("others") >= 2) & (F.col("others") * 10 > F.col("best.others")) & ((alone >= 1) | F.lit(not ties))
+    met = met.withColumn("own", own).select("group", "token", "support", F.when(~F.col("own"), F.col("best")).alias("best"))
     step = materialized(met.select("group", "token", F.coalesce(hub, token).alias("hub"), "support"))
     # A hub is known, or comes later by (support, others, name) than its token, so this ends; the way is halved each time.
     while True:
@@ -336,7 +334,7 @@ def _ln(c: str) -> Column:
 
 def _persons(read: DataFrame) -> DataFrame:
     """(text, entity) of the spellings that have a reading as a person."""
-    people = read.where("kind = 'person'").select("text", "shown", "given", "initial", "surname", "bonus", "sure")
+    people = read.where("kind = 'person'").select("text", "shown", "given", "initial", "surname", "bonus", "sure", "alternative")
     # A given name stands with surnames: those are its support and its other evidence.
     beside = people.where("length(given) > 1").select(F.lit("").alias("group"), F.col("given").alias("token"), "surname").distinct()
     beside = beside.groupBy("group", "token").agg(F.count(F.lit(1)).alias("support")).withColumn("others", F.col("support"))
@@ -353,13 +351,13 @@ def _persons(read: DataFrame) -> DataFrame:
     corrected = F.when(F.col("g_hub").isNotNull() & (F.col("bonus") < 900) & known[F.coalesce("g_hub", F.lit(""))].isNotNull(), 900).otherwise(0)
     # Rarity: what is common as a given name and rare as a surname; readings without choice weigh most.
     rarity = 20 * (_ln("sure_g1") + _ln("sure_s2") - _ln("sure_s1") - _ln("sure_g2")) + _ln("all_g1") - _ln("all_s2")
-    best = scored.groupBy("text").agg(F.max_by(F.struct("shown", "g_hub", "initial", "surname"), F.struct((F.col("bonus") + corrected + rarity).alias("score"), F.col("surname"), F.col("g_hub"))).alias("x")).select("text", "x.*")
+    best = scored.groupBy("text").agg(F.max_by(F.struct("shown", "g_hub", "initial", "surname", "alternative"), F.struct((F.col("bonus") + corrected + rarity).alias("score"), F.col("surname"), F.col("g_hub"))).alias("x")).select("text", "x.*")
 
     # The full names a given name stands for; none for an initial. A surname is corrected among people whose given names begin alike.
     full = F.create_map(*[x for short, names_ in sorted(FULL_NAMES.items()) for x in (F.lit(short), F.array(*map(F.lit, names_)))])
     candidates = F.when(F.col("g_hub").isNotNull(), F.coalesce(full[F.col("g_hub")], F.array("g_hub")))
     letters = F.array_distinct(F.transform(F.coalesce("candidates", F.array("initial")), lambda c: F.substring(c, 1, 1)))
-    best = materialized(best.withColumn("candidates", candidates).withColumn("least_ini", F.array_min(letters)).withColumn("ini", F.explode(letters)))
+    best = materialized(best.withColumn("candidates", candidates).withColumn("least_ini", F.array_min(letters)).withColumn("ini", F.explode(letters)).withColumn("surname", F.explode(F.array_compact(F.array("surname", "alternative")))).drop("alternative"))
     hubs = corrections(_supported(best, "ini", "surname", F.col("ini") == F.col("least_ini"))).select(F.col("group").alias("ini"), F.col("token").alias("surname"), F.col("hub").alias("s_hub"), F.col("support").alias("s_support"))
     best = best.join(hubs, ["ini", "surname"]).groupBy("text").agg(F.max_by(F.struct("shown", "g_hub", "initial", "candidates", "s_hub"), F.struct(F.col("s_hub") != F.col("surname"), "s_support", "s_hub")).alias("x")).select("text", "x.*")
     best = materialized(best)
