@@ -201,6 +201,9 @@ def oracle_sql() -> dict[str, str]:
         "r_collection_recordings": f"WITH {_LATEST} SELECT file_name, CASE WHEN there THEN 1 ELSE 3 END AS status, CASE WHEN NOT there THEN 'missing' END AS reason, commons_title AS source_title, license_short_name, license AS license_identifier, license_url, nullif(author_text, '') AS author_text, lower(sha1) AS sha1, CASE WHEN there THEN least(size_bytes, 1048576) END::BIGINT AS blob_size_bytes FROM r",
         "r_collection_checks": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 0::BIGINT)" for c in ("chunk", "status", "license", "author", "chunk_totals", "digest", "size", "delivery", "repeated_names")) + ') t("check", n_bad)',
         "r_collection_status": f"WITH {_LATEST} SELECT count(*) FILTER (there) AS status_1, 0::BIGINT AS status_2, count(*) FILTER (NOT there) AS status_3, 0::BIGINT AS status_4 FROM r",
+        "r_collection_chunks": f"WITH {_LATEST}, b AS (SELECT (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {reference.CHUNKS})::INT AS chunk, sha256, max(least(size_bytes, 1048576)) AS n FROM r WHERE there GROUP BY ALL) SELECT chunk, count(*) AS blob_count, sum(n)::BIGINT AS blob_bytes FROM b GROUP BY 1",
+        "r_collection_licences": f"WITH {_LATEST}, li AS (SELECT DISTINCT license_short_name, license AS license_identifier, license_url FROM r WHERE coalesce(license_short_name, license, license_url) IS NOT NULL) SELECT *, (row_number() OVER (ORDER BY license_short_name NULLS FIRST, license_identifier NULLS FIRST, license_url NULLS FIRST) - 1)::INT AS license_ordinal FROM li",
+        "r_reference_set": "SELECT file_name, n FROM (" + reference.oracle_sql()["r_audio_references"] + ") WHERE file_name IS NOT NULL",
         "r_catalog_assets": f"WITH {_SHARDS} SELECT pack_id, pack_revision, file_name, 'https://host.example/releases/v-' || substr(pack_revision, 1, 8) || '/' || file_name AS url, sha256(pack_revision || '/' || shard_ordinal) AS sha256, size_bytes FROM s",
         "r_catalog_sizes": f"WITH {_SHARDS} SELECT pack_id, pack_revision, sum(size_bytes)::BIGINT AS installed_bytes, sum(size_bytes)::BIGINT AS asset_bytes, true AS agrees FROM s GROUP BY ALL",
         "r_catalog_errors": f"WITH {_SHARDS}, p AS (SELECT DISTINCT pack_revision FROM s), w AS (SELECT * FROM (VALUES ('sum', 'release.installed_bytes'), ('version', 'version'), ('cut', 'malformed JSON')) t(way, code)) SELECT pack_revision, way, code FROM p, w",

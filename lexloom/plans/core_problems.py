@@ -159,6 +159,26 @@ r AS (SELECT *, CASE WHEN json_type(v) <> 'OBJECT' THEN 'value' ELSE coalesce((S
 """
 
 
+#: Paths and types by file; a path that ends and one that begins under the same parent are one if most words that both have hold the same values.
+_P3_FOUND = """
+WITH a AS (SELECT file_name, source_json FROM source_lines UNION ALL SELECT 'jawiktionary-20260901.jsonl', source_json FROM jawiktionary_20260901),
+o AS (SELECT file_name, source_json::JSON AS j FROM a WHERE json_valid(source_json) AND json_type(CASE WHEN json_valid(source_json) THEN source_json END) = 'OBJECT'),
+f AS (SELECT file_name, row_number() OVER (ORDER BY file_name) AS k FROM (SELECT DISTINCT file_name FROM a)),
+t AS (SELECT f.k, json_extract_string(o.j, '$.word') AS word, regexp_replace(substr(x.fullkey, 3), '\\[\\d+\\]', '', 'g') AS path, x.type, x.value
+      FROM o JOIN f USING (file_name), json_tree(o.j) AS x WHERE x.fullkey <> '$' AND NOT regexp_matches(x.fullkey, '\\[\\d+\\]$')),
+y AS (SELECT k, path, list_sort(list_distinct(list(CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN 'number' ELSE lower(type) END))) AS types FROM t GROUP BY ALL),
+p AS (SELECT coalesce(b.k, c.k + 1) AS k, coalesce(b.path, c.path) AS path, c.types AS before, b.types AS after FROM (SELECT * FROM y WHERE k > 1) b FULL JOIN (SELECT * FROM y WHERE k < (SELECT max(k) FROM f)) c ON b.k = c.k + 1 AND b.path = c.path),
+e AS (SELECT k, path, regexp_replace(path, '(^|\\.)[^.]*$', '') AS parent FROM p WHERE after IS NULL),
+n AS (SELECT k, path, regexp_replace(path, '(^|\\.)[^.]*$', '') AS parent FROM p WHERE before IS NULL),
+v AS (SELECT k, path, word, list_sort(list_distinct(list(value::VARCHAR))) AS held FROM t WHERE word IS NOT NULL GROUP BY ALL),
+m AS (SELECT e.k, e.path AS old, n.path AS new FROM e JOIN n ON e.k = n.k AND e.parent = n.parent JOIN v a ON a.k = e.k - 1 AND a.path = e.path JOIN v b ON b.k = n.k AND b.path = n.path AND a.word = b.word
+      GROUP BY ALL HAVING avg((a.held = b.held)::INT) > 0.5),
+r AS (SELECT k, path AS field_path, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'retyped' END AS change_kind, '' AS new_path FROM p
+      WHERE before IS DISTINCT FROM after AND NOT EXISTS (SELECT 1 FROM m WHERE m.k = p.k AND (m.old = p.path AND after IS NULL OR m.new = p.path AND before IS NULL))
+      UNION ALL SELECT k, old, 'renamed', new FROM m)
+SELECT file_name, field_path, change_kind, new_path FROM r JOIN f USING (k)
+"""
+
 #: Old names of the fields in older files, as the report of problem 3 has them.
 _P3_TITLES = """
 WITH a AS (SELECT file_name, source_line_number, source_json FROM source_lines UNION ALL SELECT 'jawiktionary-20260901.jsonl', source_line_number, source_json FROM jawiktionary_20260901),
@@ -185,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT pack_id, from_date, to_date, authored_headword, change_kind FROM f",
         "p1_summary": _P1 + "SELECT pack_id, from_date, to_date, change_kind, count(*) AS n FROM f GROUP BY ALL",
+        "p3_found": _P3_FOUND,
         "p3_titles": _P3_TITLES,
         "p6_found": _P6
         + "SELECT source_line_number, child_kind, sense_pos, item_pos FROM r WHERE (child_kind, subtype) IN (('example', 'text'), ('translation', 'word'), ('sound', 'audio')) AND (child_kind <> 'example' OR sense_pos >= 0)",

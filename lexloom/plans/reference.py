@@ -257,18 +257,23 @@ def _facts(rows: DataFrame) -> dict:
     return {
         "file_name": F.col("file_name"), "status": F.lit(1), "reason": null, "reference_count": F.col("recording_id"), "source_title": F.col("commons_title"), "source_sha1": F.unhex("sha1"), "source_timestamp": F.col("uploaded_at"),
         "source_media_type": F.col("mime"), "source_size_bytes": F.col("size_bytes"), "description_url": F.col("description_url"), "license_short_name": F.col("license_short_name"), "license_identifier": F.col("license"),
-        "license_url": F.col("license_url"), "author_text": null, "author_urls": F.array().cast("array<string>"), "attribution_required": F.col("attribution_required").try_cast("boolean"),
+        "license_url": F.col("license_url"), "author_text": F.col("author_text"), "author_urls": F.from_json("author_urls_json", "array<string>"), "attribution_required": F.col("attribution_required").try_cast("boolean"),
     }
 
 
+def credited(spark: SparkSession, sf: str) -> DataFrame:
+    """Recordings with their authors' texts and links."""
+    return audio.with_authors(distinct_recordings(spark, sf), table(spark, sf, "authors"))
+
+
 def r_facts_digests(spark: SparkSession, sf: str) -> DataFrame:
-    rows = distinct_recordings(spark, sf)
+    rows = credited(spark, sf)
     return rows.select("recording_id", F.sha2(digest.recording_facts(_facts(rows)), 256).alias("facts_sha256"))
 
 
 def r_input_digests(spark: SparkSession, sf: str) -> DataFrame:
     """One digest per chunk over the facts of its recordings, in the order of their names."""
-    rows = audio.latest(distinct_recordings(spark, sf).where("file_name is not null").withColumn("chunk", digest.chunk_for(F.col("file_name"), CHUNKS)), "file_name", "recording_id")
+    rows = audio.latest(credited(spark, sf).where("file_name is not null").withColumn("chunk", digest.chunk_for(F.col("file_name"), CHUNKS)), "file_name", "recording_id")
     return audio.input_digest(rows, _facts(rows), "chunk")
 
 
@@ -377,10 +382,12 @@ h2 AS (SELECT query, match_class, selected_ordinal, row_number() OVER (PARTITION
 hits AS (SELECT query, match_class::INT AS match_class, selected_ordinal, rank::INT AS rank, truncated FROM h2 WHERE rank <= 20)"""
 _DREC = "d AS (SELECT DISTINCT * EXCLUDE (delivered_at) FROM records)"
 _REC = "c AS (SELECT DISTINCT * FROM (SELECT recording_id, file_name, commons_title, description_url, original_url, sha1, sha256, uploaded_at, size_bytes, mime, unnest(extmetadata), author_ordinal FROM commons_fixtures))"
+_CREDITED = f"""{_REC}, au AS (SELECT author_ordinal, max(author_text) AS author_text, max(author_urls_json) AS author_urls_json FROM authors GROUP BY 1),
+cr AS (SELECT c.*, author_text, coalesce(json_extract_string(author_urls_json, '$[*]'), []) AS urls FROM c LEFT JOIN au USING (author_ordinal))"""
 _FACTS = " || ".join(
     [
         _f("file_name"), _f("unhex('01')", True), _opt("NULL::VARCHAR"), _f(_u64("recording_id"), True), _opt("commons_title"), _opt("unhex(sha1)", True), _opt("uploaded_at"), _opt("mime"), _opt(f"CASE WHEN size_bytes IS NOT NULL THEN {_u64('size_bytes')} END", True),
-        _opt("description_url"), f"(CASE WHEN license_short_name IS NULL THEN unhex('00') ELSE {_opt('license_short_name')} || {_opt('license')} || {_opt('license_url')} END)", _opt("NULL::VARCHAR"), _f(_u64("0"), True),
+        _opt("description_url"), f"(CASE WHEN license_short_name IS NULL THEN unhex('00') ELSE {_opt('license_short_name')} || {_opt('license')} || {_opt('license_url')} END)", _opt("author_text"), _f(_u64("len(urls)"), True), f"unhex(coalesce(array_to_string(list_transform(urls, lambda u: hex({_f('u')})), ''), ''))",
         _opt("CASE lower(attribution_required) WHEN 'true' THEN unhex('01') WHEN 'false' THEN unhex('00') END", True),
     ]
 )
@@ -443,7 +450,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT file_name, h, i + 1, ((xor(v, ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)::HUGEINT * 435 + ((xor(v, ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)::HUGEINT % 16777216) * 1099511627776)) % 18446744073709551616)::UBIGINT FROM f WHERE 2 * i < length(h))
             SELECT file_name, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk, (v % {SHARDS})::INT + 1 AS shard FROM f WHERE 2 * i = length(h)""",
         "r_description_urls": f"SELECT DISTINCT file_name, 'File:' || file_name AS title, '{text.PAGE}' || {_URL.format(chr(39) + 'File:' + chr(39) + ' || file_name')} AS url FROM commons_fixtures WHERE file_name IS NOT NULL",
-        "r_facts_digests": f"WITH {_REC} SELECT recording_id, sha256({_FACTS}) AS facts_sha256 FROM c",
+        "r_facts_digests": f"WITH {_CREDITED} SELECT recording_id, sha256({_FACTS}) AS facts_sha256 FROM cr",
         "r_entries": f"""WITH {_LINES}, {trans}, n AS (SELECT line_number, count(*) AS n FROM st GROUP BY 1), g AS (SELECT line_number, count(*) AS k FROM ({relations}) WHERE total > 0 GROUP BY 1)
             SELECT ja.line_number, json_extract_string(j, '$.word') AS headword, json_extract_string(j, '$.pos') AS part_of_speech, json_extract_string(j, '$.etymology_number') AS etymology_number,
             coalesce(json_array_length(j, '$.senses'), 0)::BIGINT AS n_senses, coalesce(json_array_length(j, '$.forms'), 0)::BIGINT AS n_forms, coalesce(json_array_length(j, '$.sounds'), 0)::BIGINT AS n_pronunciations,
@@ -459,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN kaikki_extraction_date < wiktionary_dump_date THEN 'extraction predates its dump' END, CASE WHEN NOT regexp_full_match(pack_revision, '[0-9a-f]{64}') THEN 'malformed revision' END,
             CASE WHEN coalesce(octet_length(compressed_source_sha256), 0) <> 32 THEN 'compressed_source_sha256 is not 32 bytes' END, CASE WHEN coalesce(octet_length(uncompressed_source_sha256), 0) <> 32 THEN 'uncompressed_source_sha256 is not 32 bytes' END,
             CASE WHEN coalesce(target_shard_payload_bytes, 0) <= 0 THEN 'target_shard_payload_bytes must be positive' END], lambda x: x IS NOT NULL)) AS error FROM p""",
-        "r_input_digests": f"WITH {_REC}, m AS (SELECT *, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk FROM c WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY recording_id DESC) = 1) SELECT chunk, sha256({_f(chr(39) + digest.RECORDING_INPUTS + chr(39))} || unhex(string_agg(hex({_FACTS}), '' ORDER BY encode(file_name)))) AS digest, count(*) AS n_records FROM m GROUP BY 1",
+        "r_input_digests": f"WITH {_CREDITED}, m AS (SELECT *, (('0x' || substr(sha256(file_name), 1, 16))::UBIGINT % {CHUNKS})::INT AS chunk FROM cr WHERE file_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY recording_id DESC) = 1) SELECT chunk, sha256({_f(chr(39) + digest.RECORDING_INPUTS + chr(39))} || unhex(string_agg(hex({_FACTS}), '' ORDER BY encode(file_name)))) AS digest, count(*) AS n_records FROM m GROUP BY 1",
         "r_audio_references": f"""WITH {_LINES}, a AS (SELECT json_extract_string(s, '$.audio') AS a FROM (SELECT unnest(json_extract(j, '$.sounds[*]')) AS s FROM ja) WHERE json_type(json_extract(s, '$.audio')) = 'VARCHAR'),
             b AS (SELECT a, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(a, '%') THEN url_decode(replace(a, '+', '%2B')) ELSE a END, '^[\\s\u3000\u00a0]+', ''), '^(File:)+', ''), '^(file:)+', ''), '_', ' '), '[\\s\u3000\u00a0]+', ' ', 'g')) AS n FROM a),
             p AS (SELECT CASE WHEN n <> '' AND strlen(n) <= 255 AND contains(n, '.') AND NOT regexp_matches(n, '[/\\\\#<>\\[\\]|{{}}[:cntrl:]]') THEN upper(left(n, 1)) || substr(n, 2) END AS file_name, a FROM b)
